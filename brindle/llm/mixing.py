@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import word_count, written
+from brindle.llm.shared import row_key, word_count, written
 
 WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3
 #: Documents that a range of one source's hash order holds on average, at most.
@@ -154,7 +154,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     The plan is made from sizes alone and joined to the rows by a hash of the whole row; equal rows are interchangeable.
     """
-    keyed = docs.withColumn("__key", F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"}), 256))
+    keyed = docs.withColumn("__key", row_key(docs))
     rows = keyed.select("__key", "source", word_count(F.col("text")).alias("size")).groupBy("__key", "source").agg(F.sum("size").alias("size"))
     # Equal rows stand side by side in the stream, as one of their joint size.
     stream = written(rows, "sizes")

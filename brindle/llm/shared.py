@@ -54,6 +54,11 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns of a row; equal rows have equal keys."""
+    return F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), 256)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
