@@ -29,7 +29,7 @@ from brindle.llm.shared import row_key, word_count, written
 
 WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3
 #: Documents that a range of one source's hash order holds on average, at most.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 #: Documents over so many times their source's mean size are taken before shorter ones, which then even out.
 TIERS = (1.0, 0.25)
 #: Of a schedule that falls (or rises) linearly: the rate at the start; at the end it is 2 less that.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, pii
+from brindle.llm import decontamination, mixing, pii, simhash, toxicity
 from brindle.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,27 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_pii": op1_pii, "op6_mixing": op6_mixing}
+QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
+    "op3_simhash": op3_simhash,
+    "op6_mixing": op6_mixing,
+    "op8_decontamination": op8_decontamination,
+}
 ORACLE: dict[str, str] = {}
