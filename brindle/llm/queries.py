@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontamination, mixing, pii, simhash, toxicity
+from brindle.llm import decontamination, mixing, pii, simhash, tokens, toxicity, warc
 from brindle.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of the registered queries; the operator takes any path, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -36,7 +51,9 @@ QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op5_tokens": op5_tokens,
     "op6_mixing": op6_mixing,
     "op8_decontamination": op8_decontamination,
+    "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {}
