@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import ann, decontamination, mixing, pii, simhash, tokens, toxicity, warc
+from brindle.llm import ann, decontamination, mixing, pii, simhash, substrings, tokens, toxicity, warc
 from brindle.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op5_tokens": op5_tokens,
     "op6_mixing": op6_mixing,
+    "op7_substrings": op7_substrings,
     "op8_decontamination": op8_decontamination,
     "op9_ann": op9_ann,
     "op10_warc": op10_warc,
