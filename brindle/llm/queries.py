@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import ann, decontamination, mixing, pii, simhash, substrings, tokens, toxicity, warc
+from brindle.llm import ann, decontamination, licenses, mixing, pii, simhash, substrings, tokens, toxicity, warc
 from brindle.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The tokenizer of the registered queries; the operator takes any path, the same on every machine."""
     import public_tokenizers
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_tokens": op5_tokens,
     "op6_mixing": op6_mixing,
     "op7_substrings": op7_substrings,
