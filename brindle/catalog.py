@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -18,6 +18,30 @@ from brindle.functions.aggregates import Aggregate
 from brindle.functions.registry import Bound, Function
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Tables by name; one given as a function is opened when it is first asked for."""
+
+    def __init__(self, held: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> None:
+        self._held = dict(held._held if isinstance(held, Tables) else held)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if not isinstance(self._held[name], DataFrame):
+            self._held[name] = self._held[name]()
+        return self._held[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._held)
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+    def having(self, name: str, table: DataFrame | Callable[[], DataFrame]) -> Tables:
+        return Tables({**self._held, name: table})
+
+    def lacking(self, name: str) -> Tables:
+        return Tables({k: v for k, v in self._held.items() if k != name})
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     """Metadata for tools; queries do not need it."""
@@ -43,7 +67,7 @@ def type_of_value(value: Any) -> str:
 @dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
-    tables: Mapping[str, DataFrame] = field(default_factory=dict)
+    tables: Mapping[str, DataFrame] = field(default_factory=lambda: Tables({}))
     variables: Mapping[str, tuple[str, Any]] = field(default_factory=dict)
     functions: Mapping[str, list[Function]] = field(default_factory=dict)
     aggregates: Mapping[str, Aggregate] = field(default_factory=dict)
@@ -54,17 +78,17 @@ class Catalog:
     comparers: Mapping[ty.Type, str] = field(default_factory=dict)
     _views: dict[str, str] = field(default_factory=dict, compare=False, repr=False)
 
-    def with_table(self, name: str, df: DataFrame) -> Catalog:
-        return replace(self, tables={**self.tables, name: df}, _views={k: v for k, v in self._views.items() if k != name})
+    def with_table(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Catalog:
+        return replace(self, tables=Tables(self.tables).having(name, df), _views={k: v for k, v in self._views.items() if k != name})
 
-    def with_tables(self, tables: Mapping[str, DataFrame]) -> Catalog:
+    def with_tables(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> Catalog:
         out = self
         for name, df in tables.items():
             out = out.with_table(name, df)
         return out
 
     def without_table(self, name: str) -> Catalog:
-        return replace(self, tables={k: v for k, v in self.tables.items() if k != name}, relations=tuple(r for r in self.relations if name not in (r.parent, r.child)), _views={})
+        return replace(self, tables=Tables(self.tables).lacking(name), relations=tuple(r for r in self.relations if name not in (r.parent, r.child)), _views={})
 
     def with_variable(self, name: str, value: Any, kind: str | None = None) -> Catalog:
         kind = kind or type_of_value(value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, fields, is_dataclass
+from functools import partial
 from typing import Any, get_type_hints
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ _SPARK = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str:
 
 
 def load_tables(spark: SparkSession, folder: str, names: Sequence[str] = TABLES[:8]) -> Catalog:
-    """A catalog of a folder's Parquet tables, name.parquet each. Nothing is read but their schemas."""
-    return Catalog(spark).with_tables({n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
+    """A catalog of a folder's Parquet tables, name.parquet each; a table is opened when a query names it."""
+    return Catalog(spark).with_tables({n: partial(spark.read.parquet, f"{folder}/{n}.parquet") for n in names})
 
 
 def from_rows(spark: SparkSession, rows: Iterable[Any], schema: str | T.StructType) -> DataFrame:
