@@ -10,7 +10,7 @@
 Encoding: a byte-level BPE tokenizer cuts a text into pieces (words with the
 blank before them, numbers, runs of signs, white space) and encodes each piece
 on its own. The cuts are found for many texts at once by character classes; the
-library encodes each distinct piece, once per task while it is remembered.
+library's model encodes each distinct piece, once per worker while it is remembered.
 Pieces are told apart by 64-bit hashes. Texts with characters beyond the
 scripts whose classes are long settled, or with a special token's string, go
 through the library whole.
@@ -22,11 +22,15 @@ give a row each; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -37,8 +41,8 @@ from brindle.llm import blobs, wavelet
 from brindle.llm.shared import scratch, written
 
 END = 0
-#: Ids of a file, characters cut at once, pieces that a task remembers, and the longest of them.
-SHARD, _CHARS, _PIECES, _LONG = 1 << 22, 1 << 20, 1 << 20, 200
+#: Ids of a file, characters cut at once, pieces that a worker remembers, and the longest of them.
+SHARD, _CHARS, _PIECES, _LONG = 1 << 21, 1 << 19, 1 << 19, 200
 _L, _N, _O, _S, _UNSURE = range(5)
 #: The ranges of characters whose classes the cuts rely on.
 _SETTLED = ((0x00, 0x1B), (0x20, 0x052F), (0x2000, 0x206F), (0x20A0, 0x20BF))
@@ -54,6 +58,8 @@ def _classes() -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str) -> None:
+        # Spark's tasks are the parallelism; the library's threads would each hold memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.levels = max(1, (self.library.get_vocab_size() - 1).bit_length())
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -63,23 +69,44 @@ class Encoder:
         base = int(rng.integers(0, 2**62)) * 2 + 1
         self.powers = np.cumprod(np.full(2 * _CHARS, base, np.uint64))
         self.inverse = np.cumprod(np.full(2 * _CHARS, pow(base, -1, 2**64), np.uint64))
+        self.names = self._byte_names()
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.at: list[int] = [0]
+        self.used = self.n = 0
+        self.at = np.zeros(1 << 16, np.int64)
+
+    def _byte_names(self) -> dict[int, str]:
+        """The character that the library's model has for each byte of UTF-8, asked of its own cutter."""
+        out: dict[int, str] = {}
+        # Every first byte with every second byte, at least once: one to four bytes long.
+        for c in [*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x1000)]:
+            raw = chr(c).encode()
+            found = self.library.pre_tokenizer.pre_tokenize_str(chr(c))[0][0]
+            if len(found) == len(raw):
+                out.update(zip(raw, found, strict=True))
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces by the library and appends their ids."""
-        for found in self.library.encode_batch_fast(pieces, add_special_tokens=False):
-            got = found.ids
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + len(got)] = got
-            self.used += len(got)
-            self.at.append(self.used)
+        """Encodes pieces by the library's model and appends their ids.
+
+        A piece is one cut already, so the model is asked directly, in its
+        characters for bytes; the way through the whole library costs four times as much.
+        """
+        tokenize, names = self.library.model.tokenize, self.names
+        found = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(names))] for p in pieces]
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        ends = np.cumsum([len(f) for f in found]) + self.used
+        if self.n + len(ends) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(ends)), np.int64)])
+        self.at[self.n + 1 : self.n + 1 + len(ends)] = ends
+        self.n += len(ends)
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, END after each, and the number of each text's (END included)."""
@@ -178,17 +205,19 @@ class Encoder:
         stop = np.append(start[1:], len(cps))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.mix[cps] * self.powers[: len(cps)])))
         hashes = (sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64) * self.mix[1]
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which, keys = pd.factorize(hashes)
+        first = np.empty(len(keys), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         get = self.known.get
         place = np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
         missing = np.flatnonzero(place < 0)
         if len(missing):
             a, b = start[first[missing]].tolist(), stop[first[missing]].tolist()
-            base = len(self.at) - 1
+            base = self.n
             self._learn([whole[i:j] for i, j in zip(a, b, strict=True)])
             place[missing] = base + np.arange(len(missing))
             self.known.update((k, p) for k, p, i, j in zip(keys[missing].tolist(), place[missing].tolist(), a, b, strict=True) if j - i <= _LONG)
-        at = np.array(self.at)
+        at = self.at
         begin = at[place][which]
         size = (at[place + 1] - at[place])[which]
         total = np.concatenate(([0], np.cumsum(size)))
@@ -203,12 +232,23 @@ class Encoder:
         return out, counts
 
 
+_HELD: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The process's encoder of a file: tasks that follow on a worker find the pieces that it knows."""
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = Encoder(path)
+    return _HELD[path]
+
+
 _MANIFEST = "range_no int, file_no int, path string, before long, n_docs long, n_ids long"
 
 
 def _writer(folder: str, tokenizer: str):  # noqa: ANN202
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         counts: list[np.ndarray] = []
@@ -225,20 +265,20 @@ def _writer(folder: str, tokenizer: str):  # noqa: ANN202
             return row
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            doc_ids = batch.column("doc_id").to_pylist()
-            lo = size = 0
-            for hi, text in enumerate(texts, 1):
-                size += len(text)
-                if size >= _CHARS or hi == len(texts):
-                    got, n = encoder.encode(texts[lo:hi])
-                    ids.append(got.astype(np.uint16) if encoder.levels <= 16 else got)
-                    counts.append(n)
-                    names += doc_ids[lo:hi]
-                    held += len(got)
-                    lo, size = hi, 0
-                    if held >= SHARD:
-                        yield flush()
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            total = np.cumsum(sizes)
+            lo = 0
+            while lo < len(sizes):
+                # A few texts at a time leave Arrow's memory.
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] - sizes[lo] + _CHARS)))
+                got, n = encoder.encode([t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()])
+                ids.append(got.astype(np.uint16) if encoder.levels <= 16 else got)
+                counts.append(n)
+                names += batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+                held += len(got)
+                lo = hi
+                if held >= SHARD:
+                    yield flush()
         if names:
             yield flush()
 
