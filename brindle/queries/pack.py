@@ -127,6 +127,8 @@ SUBQUERIES = [
     ("sub_in_having", "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey HAVING COUNT(*) > (SELECT COUNT(*) FROM customer) / 25", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > (SELECT count(*) FROM customer) // 25"),
     ("sub_in_case", "SELECT n_name, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN (SELECT MAX(r_name) FROM region WHERE r_regionkey = n_nationkey) ELSE 'none' END AS k FROM nation", "SELECT n_name, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN (SELECT max(r_name) FROM region WHERE r_regionkey = n_nationkey) ELSE 'none' END AS k FROM nation"),
     ("derived_table", "SELECT d.k, d.n FROM (SELECT n_regionkey AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey) AS d WHERE d.n > 4", "SELECT d.k, CAST(d.n AS BIGINT) AS n FROM (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey) AS d WHERE d.n > 4"),
+    ("sub_skip_level", "SELECT r.r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey > 0 AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND s.s_acctbal > 9500.0))", "SELECT r.r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey > 0 AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND s.s_acctbal > 9500))"),
+    ("sub_skip_level_scalar", "SELECT n.n_name, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT MAX(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS k FROM nation n WHERE n.n_nationkey < 9", "SELECT n.n_name, CAST((SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT max(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS BIGINT) AS k FROM nation n WHERE n.n_nationkey < 9"),
     ("sub_nested_two_levels", "SELECT r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9500.0))", "SELECT r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9500))"),
 ]
 
