@@ -37,7 +37,7 @@ from brindle.llm.shared import written
 #: Neighbours returned; rows of a shard; queries of a block.
 K, SHARD, BLOCK = 5, 8192, 512
 #: Links of a node in an upper layer, candidates it chooses from, beam of a search, one node in FAN is in the next layer.
-DEGREE, CANDIDATES, EF, FAN = 16, 64, 128, 16
+DEGREE, CANDIDATES, EF, FAN = 16, 64, 192, 16
 QUERY_EVERY = 50
 
 
