@@ -25,9 +25,9 @@ by filter_toxic(), not read by the rest.
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,8 +42,8 @@ SAMPLE, FOLDS, ROUNDS = 1500, 5, 30
 #: A feature is known if so many documents hold it; it marks toxic tokens if toxic documents hold it so many times as
 #: often as clean ones, and with that log-likelihood ratio (20: by chance for one feature of 100,000).
 LEAST_DOCS, LIFT, EVIDENCE = 3, 10.0, 20.0
-#: Tokens scored at once, steps of a segment, words whose emissions a task remembers.
-_TOKENS, _STEPS, _WORDS = 1 << 19, 256, 1 << 20
+#: Tokens scored and trained on at once, steps of a segment, words whose emissions a task remembers.
+_TOKENS, _BLOCK, _STEPS, _WORDS = 1 << 18, 1 << 17, 256, 1 << 19
 _PART = re.compile(r"[^\W_]+")
 _FAR = 30.0
 
@@ -144,40 +144,74 @@ def _curve(model: Model, most: np.ndarray, some: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(c0 + c1 * most + c2 * some, -_FAR, _FAR)))
 
 
+def _apart(texts: list[str]) -> list[int]:
+    """The places of the texts that share at most a fifth of their five-word strings with those before them.
+
+    Copies would let every word of one document stand for its label. One string in eight, by its hash, is compared.
+    """
+    seen: set[int] = set()
+    out = []
+    for i, text in enumerate(texts):
+        raw = text.split()
+        own = {h for k in range(max(1, len(raw) - 4)) if not (h := zlib.crc32(" ".join(raw[k : k + 5]).encode("utf-8", "surrogatepass"))) & 7}
+        own = own or {zlib.crc32(text.encode("utf-8", "surrogatepass"))}
+        if len(own & seen) <= 0.2 * len(own):
+            seen |= own
+            out.append(i)
+    return out
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """A model from whole texts and their labels (0 or 1)."""
+    apart = _apart(texts)
+    texts, labels = [texts[i] for i in apart], [labels[i] for i in apart]
     words: dict[str, int] = {}
-    docs = [[words.setdefault(p, len(words)) for p in _PART.findall(t.lower())] for t in texts]
+    docs = [np.array([words.setdefault(p, len(words)) for p in _PART.findall(t.lower())], np.int32) for t in texts]
     y = np.array(labels, bool)
     if not y.any() or y.all():
         return Model()
-    names = [features(w) for w in words]
-    held = [{f for w in set(d) for f in names[w]} for d in docs]
-    in_toxic, in_clean = Counter(), Counter()
-    for fs, toxic in zip(held, y, strict=True):
-        (in_toxic if toxic else in_clean).update(fs)
-    n1, n0 = int(y.sum()), int((~y).sum())
+    # A row of feature numbers for each word, -1 where it has fewer.
+    place: dict[str, int] = {}
+    table = np.full((len(words) + 1, 4), -1, np.int32)
+    for w, word in enumerate(words):
+        found = [place.setdefault(f, len(place)) for f in features(word)]
+        table[w, : len(found)] = found
+    in_docs = np.zeros((2, len(place)), np.int64)
+    for ids, toxic in zip(docs, y, strict=True):
+        held = np.unique(table[np.unique(ids)])
+        in_docs[int(toxic), held[held >= 0]] += 1
+    (n0, n1), (k0, k1) = (int((~y).sum()), int(y.sum())), in_docs
     share = n1 / (n1 + n0)
-
-    def evidence(k1: int, k0: int) -> float:
-        k = k1 + k0
-        return 2 * (k1 * math.log(k1 / (k * share)) + (k0 * math.log(k0 / (k * (1 - share))) if k0 else 0.0))
-
-    marks = {f for f, k in in_toxic.items() if (k + 0.5) / (n1 + 1) >= LIFT * (in_clean[f] + 0.5) / (n0 + 1) and evidence(k, in_clean[f]) >= EVIDENCE}
-    known = [f for f, k in (in_toxic + in_clean).items() if k >= LEAST_DOCS]
-    place = {f: i for i, f in enumerate(known)}
-    flat = [(w, place[f]) for w, fs in enumerate(names) for f in fs if f in place]
-    of_word, of_feature = np.array(flat, np.int64).reshape(-1, 2).T
-    marked = np.array([any(f in marks for f in fs) for fs in names] or [False])
-    full = [i for i, d in enumerate(docs) if d]
-    counts = np.array([len(docs[i]) for i in full])
-    tokens = np.concatenate([np.array(docs[i]) for i in full])
-    first = np.zeros(len(tokens), bool)
-    first[np.concatenate(([0], np.cumsum(counts)[:-1]))] = True
-    truth = (np.repeat(y[full], counts) & marked[tokens]).astype(float)
-    pair = ~first[1:]
-    seen = truth[:-1][pair], truth[1:][pair]
-    seen_edges = np.array([((1 - seen[0]) * seen[1]).sum(), (seen[0] * (1 - seen[1])).sum(), (seen[0] * seen[1]).sum()])
+    k = np.maximum(k0 + k1, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = 2 * (np.where(k1 > 0, k1 * np.log(k1 / (k * share)), 0) + np.where(k0 > 0, k0 * np.log(k0 / (k * (1 - share))), 0))
+    marks = ((k1 + 0.5) / (n1 + 1) >= LIFT * (k0 + 0.5) / (n0 + 1)) & (evidence >= EVIDENCE)
+    known = np.flatnonzero(k0 + k1 >= LEAST_DOCS)
+    number = np.full(len(place) + 1, -1, np.int64)
+    number[known] = np.arange(len(known))
+    marked = (np.append(marks, False)[table] & (table >= 0)).any(axis=1)
+    kept = np.where(table >= 0, number[table], -1)
+    of_word, column = np.nonzero(kept >= 0)
+    of_feature = kept[of_word, column]
+    names = [f for f, ok in zip(place, k0 + k1 >= LEAST_DOCS, strict=True) if ok]
+
+    # Blocks of whole documents, so that a round's arrays stay small.
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held_ids: list[np.ndarray] = []
+    held_toxic: list[bool] = []
+    size = 0
+    full = [i for i, d in enumerate(docs) if len(d)]
+    for n, i in enumerate(full, 1):
+        held_ids.append(docs[i])
+        held_toxic.append(bool(y[i]))
+        size += len(docs[i])
+        if size >= _BLOCK or n == len(full):
+            counts = np.fromiter(map(len, held_ids), np.int64, len(held_ids))
+            tokens = np.concatenate(held_ids)
+            first = np.zeros(len(tokens), bool)
+            first[np.cumsum(counts) - counts] = True
+            blocks.append((tokens, first, (np.repeat(held_toxic, counts) & marked[tokens]).astype(float)))
+            held_ids, held_toxic, size = [], [], 0
 
     # Adam on the log likelihood per document, with a small pull to zero.
     x = np.zeros(len(known) + 5)
@@ -185,21 +219,25 @@ def train(texts: list[str], labels: list[int]) -> Model:
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, ROUNDS + 1):
         weights, bias, trans, start = x[:-5], x[-5], tuple(x[-4:-1]), x[-1]
-        per_word = bias + np.bincount(of_word, weights[of_feature], len(names))
-        fore, back, psi = messages(per_word[tokens], first, trans, start)
-        p = fore * back / (1 + fore * back)
-        ahead = (psi * back)[1:][pair]
-        before = fore[:-1][pair]
+        per_word = bias + np.bincount(of_word, weights[of_feature], len(table))
+        by_word, rest = np.zeros(len(table)), np.zeros(5)
         t01, t10, t11 = np.exp(trans)
-        joint = np.stack([t01 * ahead, t10 * before, t11 * before * ahead])
-        joint /= 1 + joint.sum(axis=0)
-        miss = truth - p
-        by_word = np.bincount(tokens, miss, len(names))
-        grad = np.concatenate([np.bincount(of_feature, by_word[of_word], len(known)) - 0.05 * weights, [miss.sum()], seen_edges - joint.sum(axis=1), [miss[first].sum()]]) / len(full)
+        for tokens, first, truth in blocks:
+            fore, back, psi = messages(per_word[tokens], first, trans, start)
+            miss = truth - fore * back / (1 + fore * back)
+            by_word += np.bincount(tokens, miss, len(table))
+            pair = ~first[1:]
+            was, now = truth[:-1][pair], truth[1:][pair]
+            ahead, before = (psi * back)[1:][pair], fore[:-1][pair]
+            joint = np.stack([t01 * ahead, t10 * before, t11 * before * ahead])
+            joint /= 1 + joint.sum(axis=0)
+            seen = np.array([((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum()])
+            rest += np.concatenate([[miss.sum()], seen - joint.sum(axis=1), [miss[first].sum()]])
+        grad = np.concatenate([np.bincount(of_feature, by_word[of_word], len(known)) - 0.05 * weights, rest]) / len(full)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         x = x + 0.4 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         x[-4:] = np.clip(x[-4:], -4.0, 4.0)
-    model = Model({f: float(w) for f, w in zip(known, x[:-5], strict=True) if abs(w) > 1e-4}, float(x[-5]), tuple(map(float, x[-4:-1])), float(x[-1]))
+    model = Model({f: float(w) for f, w in zip(names, x[:-5], strict=True) if abs(w) > 1e-4}, float(x[-5]), tuple(map(float, x[-4:-1])), float(x[-1]))
 
     # The curve: logistic regression by Newton's method, kept from running off where classes part cleanly.
     emissions = Emissions(model)
@@ -275,10 +313,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for label in (0, 1):
         some = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         drawn = some if drawn is None else drawn.unionByName(some)
-    # At most 2 * SAMPLE ids, so they may be broadcast, and their texts go to the driver.
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [int(r.toxic) for r in rows])
+    # At most 2 * SAMPLE ids, so they may be broadcast; their texts go to one task, which trains, and the model to the driver.
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    found = rows.repartition(1).mapInPandas(_train_rows, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else Model()
+
+
+def _train_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = sorted((r for batch in batches for r in zip(batch["doc_id"].tolist(), batch["text"].tolist(), batch["toxic"].tolist(), strict=True)))
+    model = train([r[1] for r in rows], [int(r[2]) for r in rows])
+    yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
