@@ -15,6 +15,11 @@
 5. A shard gives a spanning forest of its links, not all pairs; the components
    of these edges are the result.
 
+keep_one_similar() is for pipelines: near copies by the share of common five-word
+shingles. Equal shingle sets are one; each set is dealt to shards by its smallest
+hash under a few mixings, the shard's BK-tree gives the pairs whose fingerprints
+are near enough, and a sketch of the sets decides.
+
 Defined results: a null text is an empty one and has fingerprint zero, which
 links like any other; repeated rows give a row each; a null doc_id belongs to
 the group of its fingerprint, whose component is null if no doc_id is known;
@@ -23,7 +28,8 @@ extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,19 +50,22 @@ _BLOCK = 1 << 15
 _QUERIES = 1024
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """Unsigned. Words are runs of anything but ASCII white space, which is what bytes.split() cuts at."""
+def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
+    """Of all shingles, repeats included. Words are runs of anything but ASCII white space, which is what bytes.split() cuts at."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= n:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - n + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - n + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s:e], SEED) for s, e in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(hashes: list[int]) -> int:
+    """The number whose bits are those that are set in over half the hashes; 0 for none."""
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         part = np.array(hashes[at : at + _BLOCK], np.uint64).astype("<u8")
@@ -64,6 +73,11 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """Unsigned."""
+    return majority(shingle_hashes(text, n))
+
+
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         values = np.fromiter(map(fingerprint, batch.pop("text")), np.uint64, len(batch))
@@ -110,8 +124,10 @@ def _dealer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"path": path + str(i), "key": mixed.view(np.int64), "fp": fp})
 
 
-def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Spanning links (pairs of places) of each shard's fingerprints; shard: sorted numbers, fp: distinct within a shard.
+def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Spanning links (pairs of places) of each shard's fingerprints; shard: sorted numbers.
+
+    accept: which of some pairs within the radius are links; all, if it is left out.
 
     All shards' BK-trees grow side by side: in each round every fingerprint
     not yet placed moves one edge down, and the first to come along an edge
@@ -157,6 +173,9 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.
             d = np.bitwise_count(fp[query] ^ fp[at]).astype(np.int64)
             near = (d <= radius) & (at < query)
             a, b = query[near], at[near]
+            if accept is not None and len(a):
+                good = accept(a, b)
+                a, b = a[good], b[good]
             while len(a):
                 ra, rb = top(a), top(b)
                 apart = ra != rb
@@ -236,10 +255,157 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- copies by similarity
+
+
+@dataclass(frozen=True)
+class Near:
+    """What counts as a near copy: words of a shingle and the least share of common shingles (Jaccard);
+    slack: taken off for the error of the estimate; radius: in bits, beyond which no such pair lies (four deviations
+    above the mean for 0.8); keys: shards of a document; more: those of a crowded shard's documents in the next deal."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    slack: float = 0.025
+    radius: int = 22
+    keys: int = 6
+    more: int = 6
+
+
+_BINS = 512
+
+
+def _smallest(values: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of some distinct hashes under n further mixings."""
+    out = np.empty(n, np.uint64)
+    for i in range(n):
+        mixed = (values ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64((2 * i + 1) * 0xD6E8FEB86659FD93 % 2**64 | 1)
+        out[i] = (mixed ^ (mixed >> np.uint64(31))).min()
+    return out
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """For each of _BINS parts of the hashes a byte of its smallest, from 1 on; 0 for a part without any.
+
+    The share of equal bytes among parts that either has is an estimate of the
+    share of common hashes: nearly exact for few hashes, within 0.018 (one
+    deviation) for many.
+    """
+    out = np.zeros(_BINS, np.uint8)
+    if len(values):
+        part = (values % np.uint64(_BINS)).astype(np.int64)
+        order = np.lexsort((values, part))
+        first = order[np.concatenate(([True], part[order][1:] != part[order][:-1]))]
+        out[part[first]] = (values[first] // np.uint64(_BINS) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out.tobytes()
+
+
+def _features(near: Near, levels: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = near.keys + near.more * levels
+        for batch in batches:
+            rows = []
+            for text in batch.pop("text"):
+                hashes = shingle_hashes(text, near.shingle)
+                values = np.unique(np.array(hashes, np.uint64))
+                whole = xxhash.xxh64_intdigest(values.tobytes(), 1)
+                keys = _smallest(values, n) if len(values) else np.zeros(n, np.uint64)
+                rows.append((whole - 2**63, np.uint64(majority(hashes)).astype(np.int64), keys.view(np.int64), sketch(values)))
+            yield batch.assign(**{name: pd.Series([r[k] for r in rows], dtype=object if k > 1 else "int64", index=batch.index) for k, name in enumerate(("same", "fp", "keys", "sketch"))})
+
+    return run
+
+
+def _similar(near: Near) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links of a partition's shards (rows sorted by key; a shard may run over several batches)."""
+    least = near.similarity - near.slack
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        key, same = rows["key"].to_numpy(np.int64), rows["same"].to_numpy(np.int64)
+        marks = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, _BINS)
+
+        def accept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.empty(len(a), bool)
+            for lo in range(0, len(a), 8192):
+                x, y = marks[a[lo : lo + 8192]], marks[b[lo : lo + 8192]]
+                out[lo : lo + 8192] = ((x == y) & (x > 0)).sum(axis=1) >= least * ((x > 0) | (y > 0)).sum(axis=1)
+            return out
+
+        pairs = forest_links(np.cumsum(np.r_[True, key[1:] != key[:-1]]), rows["fp"].to_numpy(np.int64).view(np.uint64), near.radius, accept)
+        return pd.DataFrame({"x": same[pairs[:, 0]], "y": same[pairs[:, 1]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rows["key"] == rows["key"].iloc[-1]
+            held = rows[last]
+            if (~last).any():
+                yield found(rows[~last])
+        if held is not None:
+            yield found(held)
+
+    return run
+
+
+def similar_links(sets: DataFrame, near: Near, hot: int, levels: int) -> DataFrame:
+    """Spanning links x, y of the similar among distinct shingle sets; sets: same, fp, keys, sketch.
+
+    Sets of that similarity share the smallest hash under one of a few mixings
+    (6 at 0.8: all but one in 15,000), so each goes to a shard by each of them.
+    A shard over hot sets is dealt again by further mixings.
+    """
+
+    def keyed(rows: DataFrame, first: int, n: int) -> DataFrame:
+        """rows (key, same, keys) by the keys from first on."""
+        each = F.posexplode(F.slice("keys", first + 1, n)).alias("i", "value")
+        return rows.select("key", "same", "keys", each).select(F.xxhash64("key", "i", "value").alias("key"), "same", "keys")
+
+    rest, edges = keyed(sets.select(F.lit(0).cast("long").alias("key"), "same", "keys"), 0, near.keys), None
+    for level in range(levels + 1):
+        rest = written(rest, "dealt")
+        sizes = written(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        sized = written(rest.join(sizes, "key"), "sized")
+        small = sized if level == levels else sized.filter(F.col("n") <= hot)
+        shards = small.select("key", "same").join(sets.select("same", "fp", "sketch"), "same")
+        got = written(shards.repartition("key").sortWithinPartitions("key").select("key", "same", "fp", "sketch").mapInPandas(_similar(near), "x long, y long"), "links")
+        edges = got if edges is None else edges.unionByName(got)
+        crowded = sized.filter(F.col("n") > hot)
+        if level == levels or crowded.isEmpty():
+            return edges
+        rest = keyed(crowded.select("key", "same", "keys"), near.keys + near.more * level, near.more)
+    return edges
+
+
+def near_copies(docs: DataFrame, near: Near | None = None, hot: int = HOT, levels: int = 2) -> DataFrame:
+    """docs (doc_id, text, and what else is to be kept) without text, with same (the shingle set) and component.
+
+    Documents with equal shingle sets are one; sets whose similarity is near.similarity or more are linked.
+    """
+    near = near or Near()
+    kept = T.StructType([f for f in docs.schema.fields if f.name != "text"])
+    schema = kept.add("same", T.LongType()).add("fp", T.LongType()).add("keys", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
+    found = written(docs.select(*(n for n in kept.names if n not in ("same", "fp", "keys", "sketch")), "text").mapInPandas(_features(near, levels), schema), "features")
+    sets = written(found.dropDuplicates(["same"]).select("same", "fp", "keys", "sketch"), "sets")
+    edges = similar_links(sets, near, hot, levels)
+    groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("same"), "component")
+    return found.drop("fp", "keys", "sketch").join(groups, "same", "left").withColumn("component", F.coalesce("component", "same"))
+
+
+def _one_each(keyed: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """Of the rows of keyed one for each component of groups (doc_id, __key, component): the smallest doc_id (a null one last), then key."""
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key")).alias("first"))
+    kept = first.select(F.col("first.__key").alias("__key"))
+    return keyed.join(kept, "__key").dropDuplicates(["__key"]).select(*(F.col(f"`{n}`") for n in names))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id (a null one last), then by a hash of the row."""
+    """docs with one row of each group of near_duplicates()."""
     keyed = docs.withColumn("__key", row_key(docs))
-    found = near_duplicates(keyed.select("doc_id", "__key", "text"))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key")).alias("first"))
-    kept = first.select(F.col("first.__key").alias("__key"))
-    return keyed.join(kept, "__key").dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _one_each(keyed, near_duplicates(keyed.select("doc_id", "__key", "text")), docs.columns)
+
+
+def keep_one_similar(docs: DataFrame, near: Near | None = None) -> DataFrame:
+    """docs with one row of each group of near_copies()."""
+    keyed = docs.withColumn("__key", row_key(docs))
+    return _one_each(keyed, near_copies(keyed.select("doc_id", "__key", "text"), near), docs.columns)
