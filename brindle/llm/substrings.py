@@ -128,7 +128,8 @@ def covered_spans(docs: DataFrame, hot: int | None = None) -> DataFrame:
     hot = HOT if hot is None else hot
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = written(texts.mapInArrow(_find, _ANCHORS), "anchors")
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
+    # Written, so that the join below is one of two plain shuffles, whose hot keys Spark splits.
+    often = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram"), "often")
     shared = written(found.join(often, "gram"), "shared")
     place = F.struct("doc_id", "th", "place", "first", "last")
     contexts = written(shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")), "contexts")
