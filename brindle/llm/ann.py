@@ -9,9 +9,9 @@
    are nearer to it than to any neighbour kept before (and the links back to it,
    chosen likewise, up to DEGREE, twice that in layer 0), which is the choice an
    insertion makes, with exact candidates. The neighbours are flat int32 arrays.
-3. Queries are packed into blocks; each (shard, block) is one task's work: greedy
-   descent through the upper layers, then a beam of EF in layer 0, for all
-   queries of the block side by side.
+3. Queries are packed into blocks. A task holds one shard's graph and takes one
+   block after another: greedy descent through the upper layers, then a beam of
+   EF in layer 0, for all queries of the block side by side.
 4. Scores are worked out again in double precision from the vectors as given,
    and the best of all shards merged.
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.shared import written
 
-#: Neighbours returned; rows of a shard; queries of a block.
-K, SHARD, BLOCK = 5, 8192, 512
+#: Neighbours returned; rows of a shard; queries of a block; blocks that a graph is sent for.
+K, SHARD, BLOCK, GROUP = 5, 8192, 512, 32
 #: Links of a node in an upper layer, candidates it chooses from, beam of a search, one node in FAN is in the next layer.
 DEGREE, CANDIDATES, EF, FAN = 16, 64, 192, 16
 QUERY_EVERY = 50
@@ -210,25 +210,34 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "queries": [data]})
 
 
+def _found(graph: dict[str, np.ndarray], block: dict[str, np.ndarray]) -> pd.DataFrame:
+    """The K best of a shard for each query of a block, with exact scores; equal vectors share theirs."""
+    places_of = search(graph, block["vectors"])
+    vectors, queries = graph["vectors"].astype(np.float64), block["vectors"].astype(np.float64)
+    length = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
+    begin = np.concatenate(([0], graph["ends"][:-1]))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for own, query, places in zip(block["ids"].tolist(), queries, places_of, strict=True):
+        at = places[places >= 0]
+        score = vectors[at] @ query / (length[at] * np.sqrt(query @ query))
+        size = graph["ends"][at] - begin[at]
+        ids = graph["flat"][np.repeat(begin[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+        score = np.repeat(score, size)
+        ids, score = ids[ids != own], score[ids != own]
+        best = np.lexsort((ids, -score))[:K]
+        out.append((np.full(len(best), own), ids[best], score[best]))
+    return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+
+
 def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted: a shard's graph, then the blocks that are asked of it; one graph and one block are held at a time."""
+    graph: dict[str, np.ndarray] = {}
     for batch in batches:
-        for graph_data, query_data in zip(batch["graph"], batch["queries"], strict=True):
-            graph, block = _unpacked(graph_data), _unpacked(query_data)
-            found = search(graph, block["vectors"])
-            vectors, queries = graph["vectors"].astype(np.float64), block["vectors"].astype(np.float64)
-            length = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
-            begin = np.concatenate(([0], graph["ends"][:-1]))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for own, query, places in zip(block["ids"].tolist(), queries, found, strict=True):
-                at = places[places >= 0]
-                score = vectors[at] @ query / (length[at] * np.sqrt(query @ query))
-                size = graph["ends"][at] - begin[at]
-                ids = graph["flat"][np.repeat(begin[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-                score = np.repeat(score, size)
-                ids, score = ids[ids != own], score[ids != own]
-                best = np.lexsort((ids, -score))[:K]
-                out.append((np.full(len(best), own), ids[best], score[best]))
-            yield pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+        for is_block, data in zip(batch["is_block"], batch["data"], strict=True):
+            if is_block:
+                yield _found(graph, _unpacked(data))
+            else:
+                graph = _unpacked(data)
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -254,10 +263,13 @@ def nearest(table: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     n = asked.count()
     blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
     blocks = written(blocked.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, queries binary"), "blocks")
-    # Each block meets each shard: a row a pair, dealt by shard and block so that no task holds them all.
-    met = blocks.withColumn("shards", shards).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(graphs, ["dim", "shard"])
-    tasks = max(1, sum(-(-c // SHARD) for c in counts.values()) * max(1, -(-n // BLOCK)))
-    found = met.select("dim", "shard", "block", "graph", "queries").repartition(min(tasks, 4096), "dim", "shard", "block").mapInPandas(_answer, "query_id long, vec_id long, score double")
+    # Each block meets each shard. A graph is sent once for GROUP blocks, which then cost as much to send as the graph.
+    n_groups = max(1, -(-n // (BLOCK * GROUP)))
+    asks = blocks.withColumn("shards", shards).select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.floor(F.col("block") / GROUP).cast("int").alias("part"), F.lit(True).alias("is_block"), F.col("queries").alias("data"))
+    held = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"), F.lit(False).alias("is_block"), F.col("graph").alias("data"))
+    tasks = max(1, sum(-(-c // SHARD) for c in counts.values()) * n_groups)
+    met = held.unionByName(asks).repartition(min(tasks, 4096), "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "is_block")
+    found = met.mapInPandas(_answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # A query row given twice, or with two vectors, is asked once by id.
     return found.distinct().withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
