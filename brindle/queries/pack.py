@@ -106,6 +106,8 @@ JOINS = [
     ("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     ("join_nested_paren", "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r LEFT JOIN (nation n INNER JOIN supplier s ON s.s_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey AND s.s_suppkey < 20", "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r LEFT JOIN (nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey AND s.s_suppkey < 20"),
     ("join_on_subquery", "SELECT r.r_name, n.n_name FROM region r INNER JOIN nation n ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20)", "SELECT r.r_name, n.n_name FROM region r, nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20)"),
+    ("join_left_on_subquery", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN (SELECT a.r_regionkey AS k, n.* FROM region a JOIN nation n ON n.n_regionkey = a.r_regionkey WHERE EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > a.r_regionkey * 20 + 60)) n ON n.k = r.r_regionkey"),
+    ("join_right_on_subquery", "SELECT r.r_name, n.n_name FROM nation n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN (SELECT a.r_regionkey AS k, n.* FROM region a JOIN nation n ON n.n_regionkey = a.r_regionkey WHERE EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > a.r_regionkey * 20 + 60)) n ON n.k = r.r_regionkey"),
     ("join_null_keys", "SELECT a.n_name AS x, b.r_name AS y FROM nation a LEFT JOIN region b ON NULLIF(a.n_regionkey, 2) = NULLIF(b.r_regionkey, 2)", "SELECT a.n_name AS x, b.r_name AS y FROM nation a LEFT JOIN region b ON nullif(a.n_regionkey, 2) = nullif(b.r_regionkey, 2)"),
     ("join_five_way", _FIVE, _FIVE.replace("COUNT(*)", "CAST(COUNT(*) AS BIGINT)")),
 ]
