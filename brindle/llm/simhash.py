@@ -46,8 +46,8 @@ HOT, LEVELS = 4096, 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Hashes whose bits are counted at once.
 _BLOCK = 1 << 15
-#: Fingerprints that walk the trees side by side.
-_QUERIES = 1024
+#: Fingerprints that walk the trees side by side, and pairs that are looked at together, about.
+_QUERIES, _PAIRS = 1024, 1 << 20
 
 
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
@@ -166,14 +166,18 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept
             x = up
 
     links = []
-    for lo in range(0, n, _QUERIES):
-        query = np.arange(lo, min(n, lo + _QUERIES))
+    # Wide searches meet most of a shard, so fewer go side by side in large ones.
+    width = int(np.clip(_PAIRS // np.diff(np.append(np.flatnonzero(first), n)).max(), 16, _QUERIES))
+    for lo in range(0, n, width):
+        query = np.arange(lo, min(n, lo + width))
         at = root[query]
         while len(query):
             d = np.bitwise_count(fp[query] ^ fp[at]).astype(np.int64)
             near = (d <= radius) & (at < query)
             a, b = query[near], at[near]
             if accept is not None and len(a):
+                good = top(a) != top(b)
+                a, b = a[good], b[good]
                 good = accept(a, b)
                 a, b = a[good], b[good]
             while len(a):
