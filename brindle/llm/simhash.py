@@ -18,7 +18,7 @@
 keep_one_similar() is for pipelines: near copies by the share of common five-word
 shingles. Equal shingle sets are one; each set is dealt to shards by its smallest
 hash under a few mixings, the shard's BK-tree gives the pairs whose fingerprints
-are near enough, and a sketch of the sets decides.
+(of the distinct shingles) are near enough, and a sketch of the sets decides.
 
 Defined results: a null text is an empty one and has fingerprint zero, which
 links like any other; repeated rows give a row each; a null doc_id belongs to
@@ -64,7 +64,7 @@ def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
     return [digest(joined[s:e], SEED) for s, e in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     """The number whose bits are those that are set in over half the hashes; 0 for none."""
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _BLOCK):
@@ -310,11 +310,10 @@ def _features(near: Near, levels: int) -> Callable[[Iterator[pd.DataFrame]], Ite
         for batch in batches:
             rows = []
             for text in batch.pop("text"):
-                hashes = shingle_hashes(text, near.shingle)
-                values = np.unique(np.array(hashes, np.uint64))
+                values = np.unique(np.array(shingle_hashes(text, near.shingle), np.uint64))
                 whole = xxhash.xxh64_intdigest(values.tobytes(), 1)
                 keys = _smallest(values, n) if len(values) else np.zeros(n, np.uint64)
-                rows.append((whole - 2**63, np.uint64(majority(hashes)).astype(np.int64), keys.view(np.int64), sketch(values)))
+                rows.append((whole - 2**63, np.uint64(majority(values)).astype(np.int64), keys.view(np.int64), sketch(values)))
             yield batch.assign(**{name: pd.Series([r[k] for r in rows], dtype=object if k > 1 else "int64", index=batch.index) for k, name in enumerate(("same", "fp", "keys", "sketch"))})
 
     return run

@@ -60,6 +60,19 @@ def test_near_copies(spark, hot):
     assert len(kept) == len(groups) and None not in kept
 
 
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(7)
+    texts = []
+    for i in range(24):
+        base, line = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (300, 10))
+        texts += [f"{base} {line}", base + f" {line}" * (20, 50, 100)[i % 3]]
+    found = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(0, len(texts), 2):
+        assert similarity(shingles(texts[i]), shingles(texts[i + 1])) > 0.95
+        assert found[i] == found[i + 1]
+    assert len(set(found.values())) == len(texts) // 2
+
+
 def test_near_copies_of_nothing(spark):
     assert simhash.keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
