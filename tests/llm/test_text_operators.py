@@ -176,6 +176,23 @@ def test_reparameterised_questions(spark):
     assert {(r.doc_id, r.exact) for r in found} == {(1, True), (2, False), (5, True)}
 
 
+def test_names_that_open_sentences(spark):
+    tom = "Tom has 3 apples. Tom gives Anna 2 apples. Then Anna buys 5 pears. How many pears and apples do they have?"
+    marie = "In the end the old man told Anna Marie that 4 of his boats had left the harbour"
+    docs = [
+        (1, "Bob has 7 apples. Bob gives Eve 4 apples. Then Eve buys 9 pears. How many pears and apples do they have?"),
+        (2, tom.lower()),
+        (3, "and so Bob has 7 apples. Bob gives Eve 4 apples. Then Eve buys 9 pears. How many pears and apples do they have?"),
+        (4, marie.replace("Anna Marie", "Eve")),
+        (5, marie.lower()),
+        (6, "Bob has 7 apples. Bob gives Bob 4 apples. Then Eve buys 7 pears. How many cups and plates do they have?"),
+        (7, marie),
+        (8, "Bob Smith has 7 apples. Bob Smith gives Eve Jones 4 apples. Then Eve Jones buys 9 pears. How many pears and apples do they have?"),
+    ]
+    found = decontamination.decontamination_digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, tom), (2, marie)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.exact) for r in found} == {(1, 1, False), (2, 1, True), (3, 1, False), (4, 2, False), (5, 2, True), (7, 2, True), (8, 1, False)}
+
+
 def test_planted_passages(spark, small):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     texts = {r.item_id: r.text for r in items.collect()}
