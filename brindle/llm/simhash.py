@@ -18,7 +18,9 @@
 keep_one_similar() is for pipelines: near copies by the share of common five-word
 shingles. Equal shingle sets are one; each set is dealt to shards by its smallest
 hash under a few mixings, the shard's BK-tree gives the pairs whose fingerprints
-(of the distinct shingles) are near enough, and a sketch of the sets decides.
+(of the distinct shingles) are near enough, a sketch of the sets passes those that
+may be similar, and the sets themselves decide. A set's likeliest pair is asked
+first, its others only while the two are still apart.
 
 Defined results: a null text is an empty one and has fingerprint zero, which
 links like any other; repeated rows give a row each; a null doc_id belongs to
@@ -124,10 +126,9 @@ def _dealer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"path": path + str(i), "key": mixed.view(np.int64), "fp": fp})
 
 
-def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """Spanning links (pairs of places) of each shard's fingerprints; shard: sorted numbers.
-
-    accept: which of some pairs within the radius are links; all, if it is left out.
+def pairs_within(shard: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of places (a later, an earlier) of a shard's fingerprints within the radius, in parts; and whether all of the
+    later ones' pairs are out. shard: sorted numbers.
 
     All shards' BK-trees grow side by side: in each round every fingerprint
     not yet placed moves one edge down, and the first to come along an edge
@@ -135,7 +136,7 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept
     """
     n = len(fp)
     if not n:
-        return np.empty((0, 2), np.int64)
+        return
     first = np.r_[True, shard[1:] != shard[:-1]]
     parent, edge = np.full(n, -1), np.zeros(n, np.int64)
     node = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -156,16 +157,6 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept
     keys = parent[kids] * (BITS + 1) + edge[kids]
     order = np.argsort(keys)
     kids, keys = kids[order], keys[order]
-    label = np.arange(n)
-
-    def top(x: np.ndarray) -> np.ndarray:
-        while True:
-            up = label[x]
-            if (up == x).all():
-                return x
-            x = up
-
-    links = []
     # Wide searches meet most of a shard, so fewer go side by side in large ones.
     width = int(np.clip(_PAIRS // np.diff(np.append(np.flatnonzero(first), n)).max(), 16, _QUERIES))
     for lo in range(0, n, width):
@@ -175,27 +166,44 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept
             d = np.bitwise_count(fp[query] ^ fp[at]).astype(np.int64)
             near = (d <= radius) & (at < query)
             a, b = query[near], at[near]
-            if accept is not None and len(a):
-                good = top(a) != top(b)
-                a, b = a[good], b[good]
-                good = accept(a, b)
-                a, b = a[good], b[good]
-            while len(a):
-                ra, rb = top(a), top(b)
-                apart = ra != rb
-                a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-                if not len(a):
-                    break
-                # One hook per root and round, on the smaller root, so that no cycle forms.
-                big, small = np.maximum(ra, rb), np.minimum(ra, rb)
-                roots, one = np.unique(big, return_index=True)
-                label[roots] = small[one]
-                links.append(np.stack([a[one], b[one]], axis=1))
+            yield a, b, False
             base = at * (BITS + 1)
             begin = np.searchsorted(keys, base + np.maximum(d - radius, 0))
             count = np.searchsorted(keys, base + np.minimum(d + radius, BITS), side="right") - begin
             query = np.repeat(query, count)
             at = kids[np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
+        yield np.empty(0, np.int64), np.empty(0, np.int64), True
+
+
+def _top(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        up = label[x]
+        if (up == x).all():
+            return x
+        x = up
+
+
+def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Joins the trees of pairs in label; the pairs that did it."""
+    links = []
+    while len(a):
+        ra, rb = _top(label, a), _top(label, b)
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        if not len(a):
+            break
+        # One hook per root and round, on the smaller root, so that no cycle forms.
+        big, small = np.maximum(ra, rb), np.minimum(ra, rb)
+        roots, one = np.unique(big, return_index=True)
+        label[roots] = small[one]
+        links.append(np.stack([a[one], b[one]], axis=1))
+    return links
+
+
+def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Spanning links (pairs of places) of each shard's fingerprints; shard: sorted numbers."""
+    label = np.arange(len(fp))
+    links = [pair for a, b, _ in pairs_within(shard, fp, radius) for pair in _hook(label, a, b)]
     return np.concatenate(links) if links else np.empty((0, 2), np.int64)
 
 
@@ -265,12 +273,12 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Near:
     """What counts as a near copy: words of a shingle and the least share of common shingles (Jaccard);
-    slack: taken off for the error of the estimate; radius: in bits, beyond which no such pair lies (four deviations
+    slack: taken off for the error of the estimate, before the sets are compared (four deviations); radius: in bits, beyond which no such pair lies (four deviations
     above the mean for 0.8); keys: shards of a document; more: those of a crowded shard's documents in the next deal."""
 
     shingle: int = 5
     similarity: float = 0.8
-    slack: float = 0.025
+    slack: float = 0.072
     radius: int = 22
     keys: int = 6
     more: int = 6
@@ -319,23 +327,47 @@ def _features(near: Near, levels: int) -> Callable[[Iterator[pd.DataFrame]], Ite
     return run
 
 
-def _similar(near: Near) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Links of a partition's shards (rows sorted by key; a shard may run over several batches)."""
+def _candidates(near: Near, lo: int, hi: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs x, y to be compared, of a partition's shards (rows sorted by key and same; a shard may run over several batches).
+
+    Of each set the pairs that are its lo-th to hi-th by the sketch, where their components are apart. more: the
+    shard has pairs after those; a row without x and y: some of these are apart even if all given are links.
+    """
     least = near.similarity - near.slack
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        key, same = rows["key"].to_numpy(np.int64), rows["same"].to_numpy(np.int64)
+        key, same, component = (rows[c].to_numpy(np.int64) for c in ("key", "same", "component"))
         marks = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, _BINS)
-
-        def accept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            out = np.empty(len(a), bool)
-            for lo in range(0, len(a), 8192):
-                x, y = marks[a[lo : lo + 8192]], marks[b[lo : lo + 8192]]
-                out[lo : lo + 8192] = ((x == y) & (x > 0)).sum(axis=1) >= least * ((x > 0) | (y > 0)).sum(axis=1)
-            return out
-
-        pairs = forest_links(np.cumsum(np.r_[True, key[1:] != key[:-1]]), rows["fp"].to_numpy(np.int64).view(np.uint64), near.radius, accept)
-        return pd.DataFrame({"x": same[pairs[:, 0]], "y": same[pairs[:, 1]]})
+        shard = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+        _, first, group = np.unique(np.stack([shard, component]), axis=1, return_index=True, return_inverse=True)
+        known = first[group.reshape(-1)]
+        label, more, open_ = known.copy(), np.zeros(shard[-1] + 1, bool), np.zeros(shard[-1] + 1, bool)
+        out, held = [np.empty((0, 2), np.int64)], []
+        for a, b, done in pairs_within(shard, rows["fp"].to_numpy(np.int64).view(np.uint64), near.radius):
+            share = np.empty(len(a))
+            for at in range(0, len(a), 8192):
+                x, y = marks[a[at : at + 8192]], marks[b[at : at + 8192]]
+                share[at : at + 8192] = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+            held.append((a[share >= least], b[share >= least], share[share >= least]))
+            if not done:
+                continue
+            a, b, share = (np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+            order = np.lexsort((b, -share, a))
+            a, b = a[order], b[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            now = (rank >= lo) & (rank < hi) & (known[a] != known[b])
+            out.append(np.stack([a[now], b[now]], axis=1))
+            _hook(label, a[now], b[now])
+            a, b = a[rank >= hi], b[rank >= hi]
+            more[shard[a]] = True
+            open_[shard[a[_top(label, a) != _top(label, b)]]] = True
+        pairs = np.concatenate(out)
+        x, y = same[pairs[:, 0]], same[pairs[:, 1]]
+        given = pd.DataFrame({"key": key[pairs[:, 0]], "x": np.minimum(x, y), "y": np.maximum(x, y), "more": more[shard[pairs[:, 0]]]}).astype({"x": "Int64", "y": "Int64"})
+        again = key[np.searchsorted(shard, np.flatnonzero(open_))]
+        none = pd.array([None] * len(again), dtype="Int64")
+        return pd.concat([given, pd.DataFrame({"key": again, "x": none, "y": none, "more": np.ones(len(again), bool)})], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -351,12 +383,50 @@ def _similar(near: Near) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     return run
 
 
-def similar_links(sets: DataFrame, near: Near, hot: int, levels: int) -> DataFrame:
-    """Spanning links x, y of the similar among distinct shingle sets; sets: same, fp, keys, sketch.
+def _values(near: Near) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of texts (same, text) the sorted hashes of their shingle sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                sets = [np.unique(np.array(shingle_hashes(t, near.shingle), np.uint64)).tobytes() for t in part["text"]]
+                yield pd.DataFrame({"same": part["same"].to_numpy(), "hashes": pd.Series(sets, dtype=object)})
+
+    return run
+
+
+def _compared(near: Near) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Whether pairs of sets (x, y, hashes, others) have the similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for one, other in zip(batch["hashes"], batch["others"], strict=True):
+                a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= near.similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch[["x", "y"]].assign(good=np.array(good, bool))
+
+    return run
+
+
+def _judged(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Near) -> DataFrame:
+    """x, y, good of some pairs of sets; texts: gives same and a text of each set of a table (same)."""
+    needed = written(pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct(), "needed")
+    sets = written(texts(needed).mapInPandas(_values(near), "same long, hashes binary"), "members")
+    one = pairs.join(sets.withColumnRenamed("same", "x"), "x")
+    met = one.join(sets.select(F.col("same").alias("y"), F.col("hashes").alias("others")), "y")
+    return written(met.select("x", "y", "hashes", "others").mapInPandas(_compared(near), "x long, y long, good boolean"), "judged")
+
+
+def similar_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Near, hot: int, levels: int) -> DataFrame:
+    """Spanning links x, y of the similar among distinct shingle sets; sets: same, fp, keys, sketch; texts: see _judged().
 
     Sets of that similarity share the smallest hash under one of a few mixings
     (6 at 0.8: all but one in 15,000), so each goes to a shard by each of them.
-    A shard over hot sets is dealt again by further mixings.
+    A shard over hot sets is dealt again by further mixings. Each set's likeliest pair
+    is asked first, then all others that are apart, in shards where some may be links.
     """
 
     def keyed(rows: DataFrame, first: int, n: int) -> DataFrame:
@@ -364,20 +434,33 @@ def similar_links(sets: DataFrame, near: Near, hot: int, levels: int) -> DataFra
         each = F.posexplode(F.slice("keys", first + 1, n)).alias("i", "value")
         return rows.select("key", "same", "keys", each).select(F.xxhash64("key", "i", "value").alias("key"), "same", "keys")
 
-    rest, edges = keyed(sets.select(F.lit(0).cast("long").alias("key"), "same", "keys"), 0, near.keys), None
+    rest, shards = keyed(sets.select(F.lit(0).cast("long").alias("key"), "same", "keys"), 0, near.keys), None
     for level in range(levels + 1):
         rest = written(rest, "dealt")
         sizes = written(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
         sized = written(rest.join(sizes, "key"), "sized")
         small = sized if level == levels else sized.filter(F.col("n") <= hot)
-        shards = small.select("key", "same").join(sets.select("same", "fp", "sketch"), "same")
-        got = written(shards.repartition("key").sortWithinPartitions("key").select("key", "same", "fp", "sketch").mapInPandas(_similar(near), "x long, y long"), "links")
-        edges = got if edges is None else edges.unionByName(got)
+        shards = small.select("key", "same") if shards is None else shards.union(small.select("key", "same"))
         crowded = sized.filter(F.col("n") > hot)
         if level == levels or crowded.isEmpty():
-            return edges
+            break
         rest = keyed(crowded.select("key", "same", "keys"), near.keys + near.more * level, near.more)
-    return edges
+    asked, edges, groups, lo, hi = shards, None, None, 0, 1
+    while True:
+        rows = asked.join(sets.select("same", "fp", "sketch"), "same")
+        rows = rows.withColumn("component", F.col("same")) if groups is None else rows.join(groups, "same", "left").withColumn("component", F.coalesce("component", "same"))
+        dealt = rows.repartition("key").sortWithinPartitions("key", "same").select("key", "same", "fp", "sketch", "component")
+        got = written(dealt.mapInPandas(_candidates(near, lo, hi), "key long, x long, y long, more boolean"), "candidates")
+        judged = _judged(got.filter("x is not null").select("x", "y").distinct(), texts, near)
+        links = judged.filter("good").select("x", "y")
+        edges = links if edges is None else edges.union(links)
+        failed = got.filter("more").join(judged.filter("not good"), ["x", "y"], "left_semi").select("key")
+        open_ = written(got.filter("x is null").select("key").union(failed).distinct(), "open")
+        if open_.isEmpty():
+            return edges
+        asked = shards.join(open_, "key", "left_semi")
+        groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("same"), "component")
+        lo, hi = hi, 1 << 40
 
 
 def near_copies(docs: DataFrame, near: Near | None = None, hot: int = HOT, levels: int = 2) -> DataFrame:
@@ -386,13 +469,20 @@ def near_copies(docs: DataFrame, near: Near | None = None, hot: int = HOT, level
     Documents with equal shingle sets are one; sets whose similarity is near.similarity or more are linked.
     """
     near = near or Near()
-    kept = T.StructType([f for f in docs.schema.fields if f.name != "text"])
-    schema = kept.add("same", T.LongType()).add("fp", T.LongType()).add("keys", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
-    found = written(docs.select(*(n for n in kept.names if n not in ("same", "fp", "keys", "sketch")), "text").mapInPandas(_features(near, levels), schema), "features")
-    sets = written(found.dropDuplicates(["same"]).select("same", "fp", "keys", "sketch"), "sets")
-    edges = similar_links(sets, near, hot, levels)
+    made = ("same", "fp", "keys", "sketch", "__text")
+    kept = T.StructType([f for f in docs.schema.fields if f.name not in ("text", *made)])
+    schema = T.StructType([*kept.fields, T.StructField("__text", T.LongType()), T.StructField("same", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    hashed = F.xxhash64("text").alias("__text")
+    found = written(docs.select(*kept.names, hashed, "text").mapInPandas(_features(near, levels), schema), "features")
+    sets = written(found.dropDuplicates(["same"]).select("same", "__text", "fp", "keys", "sketch"), "sets")
+
+    def texts(needed: DataFrame) -> DataFrame:
+        named = needed.join(sets.select("same", "__text"), "same")
+        return docs.select(hashed, "text").join(named, "__text").dropDuplicates(["same"]).select("same", "text")
+
+    edges = similar_links(sets, texts, near, hot, levels)
     groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("same"), "component")
-    return found.drop("fp", "keys", "sketch").join(groups, "same", "left").withColumn("component", F.coalesce("component", "same"))
+    return found.drop("__text", "fp", "keys", "sketch").join(groups, "same", "left").withColumn("component", F.coalesce("component", "same"))
 
 
 def _one_each(keyed: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:

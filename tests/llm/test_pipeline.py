@@ -73,6 +73,21 @@ def test_repeated_lines_count_once(spark):
     assert len(set(found.values())) == len(texts) // 2
 
 
+def test_the_sets_decide(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(120):
+        # One long text, and another that shares its first part: just at, or just below the similarity.
+        words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(1204)]
+        both = 1068 if i % 2 else 1062
+        tail = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(1200 - both)]
+        texts += [" ".join(words), " ".join(words[: both + 4] + tail)]
+    found = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(0, len(texts), 2):
+        s = similarity(shingles(texts[i]), shingles(texts[i + 1]))
+        assert abs(s - 0.8) < 0.01 and (found[i] == found[i + 1]) == (s >= 0.8), s
+
+
 def test_near_copies_of_nothing(spark):
     assert simhash.keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
