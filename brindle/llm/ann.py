@@ -17,7 +17,7 @@
 
 Defined results: vectors that are null, zero, empty, or hold a null or
 non-finite component, and rows without an id, take no part; repeated rows count
-once each as candidates (all rows with the query's own id are its own); vectors
+once as candidates (all rows with the query's own id are its own); vectors
 of another length than most take part among their like; fewer candidates than K
 give fewer rows; extra columns are not read.
 """
@@ -171,7 +171,8 @@ def search(graph: dict[str, np.ndarray], queries: np.ndarray, ef: int = EF) -> n
     top = max(int(k[5:]) for k in graph if k.startswith("nodes"))
     nodes = graph[f"nodes{top}"]
     sim = query @ unit[nodes].T
-    enter = nodes[np.argsort(-sim, axis=1, kind="stable")[:, :4]].astype(np.int64)
+    # A graph of one layer is small enough to be looked at whole.
+    enter = nodes[np.argsort(-sim, axis=1, kind="stable")[:, : 4 if top else ef]].astype(np.int64)
     for layer in range(top - 1, -1, -1):
         nodes = graph[f"nodes{layer}"]
         inner = np.searchsorted(nodes, enter)
@@ -224,7 +225,11 @@ def _found(graph: dict[str, np.ndarray], block: dict[str, np.ndarray]) -> pd.Dat
         ids = graph["flat"][np.repeat(begin[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
         score = np.repeat(score, size)
         ids, score = ids[ids != own], score[ids != own]
-        best = np.lexsort((ids, -score))[:K]
+        best = np.lexsort((ids, -score))
+        # An id whose vectors score alike is one result.
+        new = np.ones(len(best), bool)
+        new[1:] = (ids[best[1:]] != ids[best[:-1]]) | (score[best[1:]] != score[best[:-1]])
+        best = best[new][:K]
         out.append((np.full(len(best), own), ids[best], score[best]))
     return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
@@ -250,8 +255,8 @@ def usable(table: DataFrame) -> DataFrame:
 def nearest(table: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the K nearest of each row whose vec_id is divisible by every."""
     rows = usable(table)
-    # Of each vector the K + 1 smallest ids: the filter on the row number works before the shuffle too.
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("n") <= K + 1)
+    # Of each vector the K + 1 smallest ids, each once: the filter on the row number works before the shuffle too.
+    first = rows.dropDuplicates(["vec_id", "vec"]).withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("n") <= K + 1)
     entries = written(first.groupBy("vec", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     counts = {r["dim"]: r["n"] for r in entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     shards = F.lit(1)

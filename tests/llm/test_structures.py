@@ -250,6 +250,12 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_neighbours_count_once(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.1])] * 6 + [(i, [1.0, 0.1]) for i in (2, 3)] + [(4, [1.0, 0.2]), (4, [2.0, 0.4])] * 4 + [(5, [1.0, 0.5]), (6, [0.0, 1.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert [r.vec_id for r in found.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 # ---------------------------------------------------------------- WARC
 
 
