@@ -73,7 +73,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC0": ("This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "Proprietary": ("All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher.", "This document is confidential and proprietary. Unauthorized copying or distribution is prohibited."),
+    "Proprietary": ("All rights reserved.", "All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher.", "This document is confidential and proprietary. Unauthorized copying or distribution is prohibited."),
 }
 CLASSES = (*TEMPLATES, UNKNOWN)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -157,8 +157,9 @@ def train(paragraphs: list[str], seed: int = 5) -> Model:
                 examples.append(ws if v < VARIATIONS // 4 else _variation(ws, filler, rng))
                 labels.append(k)
     mixed = [[pieces[int(i)] for i in rng.integers(0, len(pieces), rng.integers(4, 30))] for _ in range(600)]
-    # Two or three words of a notice are not one.
-    scraps = [[*ws[int(a) : int(a) + 3], *(filler[int(i)] for i in rng.integers(0, len(filler), 12))] for ts in known.values() for ws in ts for a in rng.integers(0, max(1, len(ws) - 3), 12)]
+    # Two or three words of a notice are not one, unless they are a whole one.
+    whole = {tuple(ws) for ts in known.values() for ws in ts}
+    scraps = [[*ws[int(a) : int(a) + 3], *(filler[int(i)] for i in rng.integers(0, len(filler), 12))] for ts in known.values() for ws in ts for a in rng.integers(0, max(1, len(ws) - 3), 12) if tuple(ws[int(a) : int(a) + 3]) not in whole]
     for ws in [*plain, *mixed, *scraps, []]:
         examples.append(ws)
         labels.append(len(CLASSES) - 1)

@@ -153,6 +153,23 @@ def test_licenses():
     assert all(model.classify(t)[0] == f for t, f in held)
 
 
+def test_license_lines_of_documents(spark):
+    kinds = {
+        "All rights reserved.": "Proprietary",
+        "Licensed under the Apache License, Version 2.0.": "Apache",
+        "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = [(r.doc_id, at, kinds[line]) for r in docs.collect() for at, line in licenses.paragraphs_of(r.text or "") if line in kinds]
+    found = {(r.doc_id, r.start, r.family) for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    assert {f for _, _, f in lines} == set(kinds.values())
+    assert set(lines) <= found
+    model = licenses.train([])
+    assert all(model.classify(line)[0] == f for line, f in kinds.items())
+
+
 def test_license_spans(spark):
     text = "first line\nReleased under the MIT License.\nlast"
     rows = licenses.scan(spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string"), licenses.train([])).collect()
