@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from brindle.llm import ann, blobs, graph, simhash, substrings, suffixes, tokens, warc, wavelet
+from brindle.llm import anchors, ann, blobs, graph, simhash, substrings, suffixes, tokens, warc, wavelet
 
 TEXTS = "doc_id long, text string"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -114,25 +114,36 @@ def test_components(spark):
 # ---------------------------------------------------------------- substrings
 
 
-def brute(rows, width=400):
+def brute(rows, width=400, words=51):
     seen = collections.Counter()
     data = [(i, (t or "").encode()) for i, t in rows]
     for _, b in data:
         seen.update(b[k : k + width] for k in range(len(b) - width + 1))
+    owners = collections.defaultdict(set)
+    cut = [(i, b, b.split()) for i, b in data]
+    for i, b, w in cut:
+        for k in range(len(w) - words + 1):
+            owners[tuple(w[k : k + words])].add((i, b))
     out = collections.Counter()
-    for i, b in data:
-        covered = bytearray(len(b))
+    for i, b, w in cut:
+        covered, told = bytearray(len(b)), bytearray(len(w))
         for k in range(len(b) - width + 1):
             if seen[b[k : k + width]] > 1:
                 covered[k : k + width] = b"\1" * width
-        runs = sum(1 for j in range(len(b)) if covered[j] and (j == 0 or not covered[j - 1]))
-        out[(i, len(b), sum(covered), runs, hashlib.sha256(bytes(x for x, c in zip(b, covered, strict=True) if not c)).hexdigest())] += 1
+        for k in range(len(w) - words + 1):
+            if len(owners[tuple(w[k : k + words])]) > 1:
+                told[k : k + words] = b"\1" * words
+        runs, passages = (sum(1 for j in range(len(c)) if c[j] and (j == 0 or not c[j - 1])) for c in (covered, told))
+        out[(i, len(b), sum(covered), runs, hashlib.sha256(bytes(x for x, c in zip(b, covered, strict=True) if not c)).hexdigest(), passages, sum(told))] += 1
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
-def test_substrings(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "shares"), [(8192, 10_000), (1, 10_000), (3, 10)])
+def test_substrings(spark, hot, shares, monkeypatch):
+    """Whole buckets, and such as are dealt again down to single windows; hot keys by broadcast."""
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARES", shares)
+    monkeypatch.setattr(substrings, "LEAST", 5)
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -148,22 +159,47 @@ def test_substrings(spark, hot, monkeypatch):
                 x = x.replace(rng.choice(words), rng.choice(words), 1)
             parts += [x, text(rng.randint(0, 30))]
         rows.append((i, " ".join(parts)))
-    rows += [rows[3], (900, rows[5][1]), (901, None), (902, ""), (903, "a" * 3000), (904, "ab" * 700), (None, "xy" * 201), (905, "a" * 399)]
-    assert collections.Counter(map(tuple, substrings.substring_digest(spark.createDataFrame(rows, TEXTS).repartition(5)).collect())) == brute(rows)
-    assert substrings.substring_digest(spark.createDataFrame([], TEXTS)).count() == 0
+    twice = text(70)
+    rows += [rows[3], (900, rows[5][1]), (901, None), (902, ""), (903, "a" * 3000), (904, "ab" * 700), (None, "xy" * 201), (905, "a" * 399), (906, f"{twice} z {twice} y {twice}"), (907, "the " * 300), (908, "The the " * 30 + "the " * 60)]
+    df = spark.createDataFrame([(*r, 5, 6, b"own") for r in rows], TEXTS + ", th long, gram long, symbols binary")
+    assert collections.Counter(map(tuple, substrings.substring_digest(df.repartition(5)).collect())) == brute(rows)
+    assert substrings.substring_digest(df.limit(0)).count() == 0
+
+
+def test_substrings_of_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "_CHUNK", 20_000)
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(30_000))
+    rows = [(1, text), (2, "x " + text[50_000:53_000] + " y"), (3, text[19_000:21_000] + text[:600])]
+    df = spark.createDataFrame(rows, TEXTS)
+    # In the process of the tests, where the parts are made small.
+    found = [r for batch in substrings._find(iter(df.selectExpr("doc_id", "doc_id as th", "text").toArrow().to_batches())) for r in batch.to_pylist()]
+    covered = {kind: {1: set(), 2: set(), 3: set()} for kind in (0, 1)}
+    for r in found:
+        covered[r["gram"] & 1][r["doc_id"]].update(range(r["first"], r["last"] + 1))
+    for i, t in rows:
+        assert covered[0][i] == set(range(len(t) - 399)) and covered[1][i] == set(range(len(t.split()) - 50))
+    expected = brute(rows)
+    assert collections.Counter(map(tuple, substrings.substring_digest(df).collect())) == expected
 
 
 def test_difference_cover_and_suffix_order():
-    cover = set(suffixes.difference_cover().tolist())
-    assert {(a - b) % suffixes.V for a in cover for b in cover} == set(range(suffixes.V))
+    assert sorted((a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER if a != b) == list(range(1, suffixes.V))
     rng = np.random.default_rng(2)
-    text = rng.integers(97, 99, 3000).astype(np.uint8)
-    text[1000:1700] = text[100:800]
-    ranks = suffixes.CoverRanks(text)
-    at = np.arange(5, 2400, suffixes.V)
-    order = ranks.sorted(at, np.zeros(len(at), np.int64))
-    raw = text.tobytes()
-    assert [raw[i : i + 500] for i in at[order].tolist()] == sorted(raw[i : i + 500] for i in at.tolist())
+    for kind, width in ((np.uint8, 400), (np.int64, 51)):
+        text = rng.integers(97, 99, 3000).astype(kind)
+        text[1000:1700] = text[100:800]
+        ranks = suffixes.CoverRanks(text, width)
+        at = rng.permutation(2400)[:1200]
+        bucket = at % 3
+        order = ranks.order(at, bucket)
+        raw = [(b, text[i : i + width].tolist()) for i, b in zip(at.tolist(), bucket.tolist(), strict=True)]
+        assert [raw[i] for i in order.tolist()] == sorted(raw)
+        a, b = rng.integers(0, 2400, 5000), rng.integers(0, 2400, 5000)
+        b[:400] = rng.integers(100, 400, 400)
+        a[:400] = b[:400] + 900
+        assert ranks.equal(a, b).tolist() == [text[i : i + width].tolist() == text[j : j + width].tolist() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert ranks.equal(a, b).sum() >= 200
 
 
 # ---------------------------------------------------------------- token shards
