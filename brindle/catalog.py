@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -64,6 +64,22 @@ def type_of_value(value: Any) -> str:
     return "long" if kind == "int" and not -(2**31) <= value < 2**31 else kind
 
 
+class Provider:
+    """Properties and methods of a kind of types; a subclass gives those that it has."""
+
+    def properties(self, kind: ty.Type) -> Mapping[str, tuple[str, str]]:
+        """By name the result's type and Spark SQL with {0} for the value."""
+        return {}
+
+    def methods(self, kind: ty.Type) -> Mapping[str, tuple[tuple[str, ...], str, str]]:
+        """By name the types of arguments, the result's type, and Spark SQL with {0} for the value and {1}, ... for them."""
+        return {}
+
+
+def _as_type(kind: ty.Type | T.DataType) -> ty.Type:
+    return ty.of_spark(kind) if isinstance(kind, T.DataType) else kind
+
+
 @dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
@@ -76,6 +92,12 @@ class Catalog:
     methods: Mapping[tuple[ty.Type, str], list[Function]] = field(default_factory=dict)
     #: By type, Spark SQL with {0} for the value, by which it is sorted and grouped.
     comparers: Mapping[ty.Type, str] = field(default_factory=dict)
+    #: By sign, for operands of which one at least is of no built-in type; and by source type and target.
+    operators: Mapping[str, list[Function]] = field(default_factory=dict)
+    conversions: Mapping[tuple[ty.Type, str], list[str]] = field(default_factory=dict)
+    providers: tuple[Provider, ...] = ()
+    #: Names that several aggregates were given.
+    twice: frozenset[str] = frozenset()
     _views: dict[str, str] = field(default_factory=dict, compare=False, repr=False)
 
     def with_table(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Catalog:
@@ -136,7 +158,8 @@ class Catalog:
             registered = f"brindle_{name.lower()}_{uuid.uuid4().hex[:8]}"
             self.spark.udf.register(registered, pandas_udf(body, ty.SPARK[result], PandasUDFType.GROUPED_AGG))
             made = Aggregate(lambda t: result, lambda x, strict: f"{registered}({x.sql})")
-        return replace(self, aggregates={**self.aggregates, name.upper(): made})
+        again = {name.upper()} & set(self.aggregates)
+        return replace(self, aggregates={**self.aggregates, name.upper(): made}, twice=self.twice | again)
 
     def with_property(self, kind: ty.Type, name: str, result: str, body: str) -> Catalog:
         made = Function((kind,), result, lambda args: body.format(args[0].sql))
@@ -150,6 +173,72 @@ class Catalog:
     def with_comparer(self, kind: ty.Type, form: str) -> Catalog:
         return replace(self, comparers={**self.comparers, kind: form})
 
+    def with_operator(self, sign: str, operands: Sequence[ty.Type | T.DataType], result: ty.Type | T.DataType, body: str) -> Catalog:
+        """One or two operands; it is looked for where one is of no built-in type. body: Spark SQL with {0}, {1}."""
+        made = Function(tuple(map(_as_type, operands)), _as_type(result), lambda args: body.format(*(a.sql for a in args)))
+        return replace(self, operators={**self.operators, sign.upper(): [*self.operators.get(sign.upper(), []), made]})
+
+    def with_conversion(self, source: ty.Type | T.DataType, target: str, body: str) -> Catalog:
+        """How CAST turns values of a type that is not built in into one that is. body: Spark SQL with {0}."""
+        key = (_as_type(source), target)
+        return replace(self, conversions={**self.conversions, key: [*self.conversions.get(key, []), body]})
+
+    def with_provider(self, provider: Provider) -> Catalog:
+        return replace(self, providers=(*self.providers, provider))
+
+    def property_of(self, kind: ty.Type, name: str) -> Function | None:
+        for provider in self.providers:
+            for own, (result, body) in provider.properties(kind).items():
+                if own.upper() == name:
+                    return Function((kind,), result, lambda args, body=body: body.format(args[0].sql))
+        return self.properties.get((kind, name))
+
+    def methods_of(self, kind: ty.Type, name: str) -> list[Function]:
+        found = [
+            Function((kind, *params), result, lambda args, body=body: body.format(*(a.sql for a in args)))
+            for provider in self.providers for own, (params, result, body) in provider.methods(kind).items() if own.upper() == name
+        ]
+        return found + list(self.methods.get((kind, name), []))
+
+    def _without(self, of: str, *keys: Any) -> Catalog:
+        held = getattr(self, of)
+        if missing := [k for k in keys if k not in held]:
+            raise KeyError(missing[0])
+        return replace(self, **{of: {k: v for k, v in held.items() if k not in keys}})
+
+    def without_variable(self, name: str) -> Catalog:
+        return self._without("variables", name)
+
+    def without_function(self, name: str) -> Catalog:
+        return self._without("functions", name.upper())
+
+    def without_aggregate(self, name: str) -> Catalog:
+        return replace(self._without("aggregates", name.upper()), twice=self.twice - {name.upper()})
+
+    def without_property(self, kind: ty.Type, name: str) -> Catalog:
+        return self._without("properties", (kind, name.upper()))
+
+    def without_method(self, kind: ty.Type, name: str) -> Catalog:
+        return self._without("methods", (kind, name.upper()))
+
+    def without_comparer(self, kind: ty.Type) -> Catalog:
+        return self._without("comparers", kind)
+
+    def without_operator(self, sign: str) -> Catalog:
+        return self._without("operators", sign.upper())
+
+    def without_relation(self, relation: ForeignKey) -> Catalog:
+        return replace(self, relations=tuple(r for r in self.relations if r != relation))
+
+    def without_provider(self, provider: Provider) -> Catalog:
+        return replace(self, providers=tuple(p for p in self.providers if p is not provider))
+
+    def close(self) -> None:
+        """Drops the temporary views that queries of this catalog were given."""
+        for view in self._views.values():
+            self.spark.catalog.dropTempView(view)
+        self._views.clear()
+
     def sort_form(self, kind: ty.Type) -> str:
         return self.comparers.get(kind, "{0}")
 

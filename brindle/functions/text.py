@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from brindle.functions.conversion import check_culture
+from brindle.functions import cultures
 from brindle.functions.math import _form
+from brindle.functions.python import unescape
 from brindle.functions.registry import Bound, Function
 
 
@@ -13,12 +15,11 @@ def _strings(form: str, n: int = 1, result: str = "string") -> list[Function]:
     return [Function(("string",) * n, result, _form(form))]
 
 
-def _cultured(form: str) -> list[Function]:
-    def build(args: Sequence[Bound]) -> str:
-        check_culture(args[1])
-        return form.format(args[0].sql)
-
-    return [Function(("string",), "string", _form(form)), Function(("string", "string"), "string", build)]
+def _cultured(make: Callable[[str, cultures.Culture], str]) -> list[Function]:
+    return [
+        Function(("string",), "string", lambda args: make(args[0].sql, cultures.INVARIANT)),
+        Function(("string", "string"), "string", lambda args: make(args[0].sql, cultures.culture_of(args[1]))),
+    ]
 
 
 def soundex(x: str) -> str:
@@ -41,14 +42,45 @@ def _format(args: Sequence[Bound]) -> str:
     from brindle.functions.conversion import as_text
 
     value, mask = args[0], args[1]
-    if len(args) > 2:
-        check_culture(args[2])
+    culture = cultures.culture_of(args[2]) if len(args) > 2 else cultures.INVARIANT
     if value.type == "datetime" and mask.literal:
         # The common letters of date masks mean the same to Spark, but for the era-proof year and AM/PM.
         return f"date_format({value.sql}, {quoted(str(mask.value).replace('tt', 'a'))})"
     if value.type in ("string", "char", "bool"):
-        return as_text(value)
-    return f"brindle_format(CAST({value.sql} AS DOUBLE), {mask.sql})"
+        return as_text(value, culture)
+    native = _masked(value, str(mask.value)) if mask.literal and mask.value is not None else None
+    return cultures.written(native or f"brindle_format(CAST({value.sql} AS DOUBLE), {mask.sql})", culture)
+
+
+def _masked(value: Bound, mask: str) -> str | None:
+    """A number by a mask, as Spark SQL; None where only the Python function knows the mask."""
+    x = value.sql
+    standard = re.fullmatch(r"([NFPDXE])(\d*)", mask, re.IGNORECASE)
+    if standard:
+        kind, given = standard.group(1).upper(), standard.group(2)
+        places = int(given or {"D": 0, "X": 0, "E": 6}.get(kind, 2))
+        if kind == "N":
+            return f"format_number({x}, {places})"
+        if kind == "F":
+            return f"replace(format_number({x}, {places}), ',', '')"
+        if kind == "P":
+            return f"concat(format_number(CAST({x} AS DOUBLE) * 100, {places}), ' %')"
+        if kind == "E":
+            # Spark writes two digits of the power, the dialect three.
+            return f"regexp_replace(printf('%.{places}{mask[0]}', CAST({x} AS DOUBLE)), '([+-])([0-9][0-9])$', '$10$2')"
+        digits = f"CAST(abs(CAST({x} AS BIGINT)) AS STRING)" if kind == "D" else f"hex(CAST({x} AS BIGINT))"
+        digits = f"lower({digits})" if mask[0] == "x" else digits
+        padded = f"lpad({digits}, greatest(length({digits}), {places}), '0')"
+        return f"concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, {padded})" if kind == "D" else padded
+    # Without any 0 the dialect writes nothing for zero, Java's formats a 0.
+    if "0" in mask and re.fullmatch(r"#*0*(,#*0*)?(\.0*#*)?", mask):
+        return f"format_number(CAST({x} AS DOUBLE), '{mask}')"
+    return None
+
+
+def _unescape(args: Sequence[Bound]) -> str:
+    x = args[0]
+    return quoted(unescape(x.value)) if x.literal and x.value is not None else f"brindle_unescape({x.sql})"
 
 
 def quoted(text: str) -> str:
@@ -70,8 +102,8 @@ FUNCTIONS: dict[str, list[Function]] = {
     "LEN": _strings("length({0})", result="int"),
     "CHARINDEX": _strings("(CASE WHEN {0} = '' OR {1} = '' THEN 0 ELSE locate({0}, {1}) END)", 2, "int"),
     "SUBSTRING": [Function(("string", "int"), "string", _form(_SUBSTRING % "")), Function(("string", "int", "int"), "string", _form(_SUBSTRING % ", {2}"))],
-    "UPPER": _cultured("upper({0})"),
-    "LOWER": _cultured("lower({0})"),
+    "UPPER": _cultured(cultures.upper),
+    "LOWER": _cultured(cultures.lower),
     "TRIM": _strings(_TRIM),
     "LTRIM": _strings("ltrim(' \t', {0})"),
     "RTRIM": _strings("rtrim(' \t', {0})"),
@@ -79,7 +111,7 @@ FUNCTIONS: dict[str, list[Function]] = {
     "REGEX_REPLACE": _strings("regexp_replace({0}, {1}, {2})", 3),
     "REGEX_MATCH": _strings("({0} RLIKE {1})", 2, "bool"),
     "REGEX_ESCAPE": _strings(_ESCAPE),
-    "REGEX_UNESCAPE": [Function(("string",), "string", _form("brindle_unescape({0})"), "brindle_unescape")],
+    "REGEX_UNESCAPE": [Function(("string",), "string", _unescape, "brindle_unescape")],
     "FORMAT": [Function(("any", "string"), "string", _format, "brindle_format"), Function(("any", "string", "string"), "string", _format, "brindle_format")],
     "REPLICATE": [Function(("string", "int"), "string", _form("repeat({0}, {1})"))],
     "REVERSE": _strings("reverse({0})"),

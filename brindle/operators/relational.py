@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Keys = Sequence[tuple[str, str]]
@@ -92,9 +92,17 @@ def concat_aggregate(df: DataFrame, by: Sequence[str], column: str, name: str) -
     return df.groupBy(*by).agg(F.concat_ws(", ", F.array_sort(F.collect_set(text))).alias(name))
 
 
+def lift_row_limit(spark: SparkSession) -> None:
+    """Lets recursive queries of a session have any number of rows; Spark's own limit is a million, unless one was set. Levels stay limited."""
+    name = "spark.sql.cteRecursionRowLimit"
+    if spark.conf.get(name) == "1000000":
+        spark.conf.set(name, "-1")
+
+
 def hierarchy(edges: DataFrame, child: str, parent: str, roots: DataFrame, limit: int = 100) -> DataFrame:
     """Nodes reachable from roots (one column, named child) with their level, by a recursive query of up to limit levels."""
     spark = edges.sparkSession
+    lift_row_limit(spark)
     edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("brindle_edges")
     roots.select(F.col(child).alias("c")).createOrReplaceTempView("brindle_roots")
     return spark.sql(

@@ -43,6 +43,15 @@ def user_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Query(catalog, "SELECT n_name.Tail(2) AS t, n_name.Head AS h FROM nation").dataframe()
 
 
+def user_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = load_tables(spark, sf_dir)
+    points = catalog.tables["nation"].select("n_nationkey", F.struct(F.col("n_nationkey").alias("x"), F.col("n_regionkey").alias("y")).alias("p"))
+    point = points.schema["p"].dataType
+    catalog = catalog.with_table("points", points).with_operator("+", (point, point), point, "named_struct('x', {0}.x + {1}.x, 'y', {0}.y + {1}.y)").with_operator("*", (point, "int"), point, "named_struct('x', {0}.x * {1}, 'y', {0}.y * {1})")
+    catalog = catalog.with_operator("-", (point,), point, "named_struct('x', -{0}.x, 'y', -{0}.y)").with_operator("=", (point, point), "bool", "({0}.x = {1}.x)").with_conversion(point, "int", "{0}.x")
+    return Query(catalog, "SELECT a.n_nationkey, (a.p + b.p * 2).y AS y, (-a.p).x AS x, CAST(b.p AS INT) AS k FROM points a JOIN points b ON a.p = b.p").dataframe()
+
+
 def verb_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load_tables(spark, sf_dir).tables
     return ops.semi_join(t["nation"], t["supplier"], [("n_nationkey", "s_nationkey")])
@@ -50,7 +59,7 @@ def verb_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verb_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load_tables(spark, sf_dir).tables
-    return ops.anti_join(t["nation"], t["supplier"], [("n_nationkey", "s_nationkey")])
+    return ops.anti_join(t["nation"], t["supplier"].filter("s_acctbal > 5000"), [("n_nationkey", "s_nationkey")])
 
 
 def verb_probe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +79,7 @@ def verb_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (variable_parameter, expression_scalar, struct_property, udf_scalar, udf_aggregate, user_method, verb_semi_join, verb_anti_join, verb_probe_join, verb_top_with_ties, verb_hierarchy)
+    f.__name__: f for f in (variable_parameter, expression_scalar, struct_property, udf_scalar, udf_aggregate, user_method, user_operator, verb_semi_join, verb_anti_join, verb_probe_join, verb_top_with_ties, verb_hierarchy)
 }
 ORACLE = {
     "variable_parameter": "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 AND c_nationkey = 3",
@@ -79,8 +88,9 @@ ORACLE = {
     "udf_scalar": "SELECT n_name, n_regionkey * 2 AS t FROM nation",
     "udf_aggregate": "SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 2) AS s FROM customer GROUP BY c_nationkey",
     "user_method": "SELECT right(n_name, 2) AS t, left(n_name, 1) AS h FROM nation",
+    "user_operator": "SELECT n_nationkey, n_regionkey * 3 AS y, -n_nationkey AS x, CAST(n_nationkey AS INTEGER) AS k FROM nation",
     "verb_semi_join": "SELECT * FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)",
-    "verb_anti_join": "SELECT * FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "verb_anti_join": "SELECT * FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
     "verb_probe_join": "SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) AS matched FROM nation",
     "verb_top_with_ties": "SELECT n_name, n_regionkey FROM nation QUALIFY rank() OVER (ORDER BY n_regionkey) <= 4",
     "verb_hierarchy": "WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS child, 0 AS level UNION ALL SELECT CAST(n_nationkey AS BIGINT), t.level + 1 FROM nation JOIN t ON n_nationkey > 0 AND (n_nationkey - 1) // 2 = t.child) SELECT child, level FROM t",

@@ -23,7 +23,7 @@ SCANS = [
     ("filter_in_list", "SELECT n_name FROM nation WHERE n_nationkey IN (1, 2, 3 + 4)", "SELECT n_name FROM nation WHERE n_nationkey IN (1, 2, 7)"),
     ("filter_not_in_list", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (1, 2, 3)", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (1, 2, 3)"),
     ("filter_is_null", "SELECT n_name, NULLIF(n_regionkey, 2) AS k FROM nation WHERE NULLIF(n_regionkey, 2) IS NULL OR NULLIF(n_regionkey, 1) IS NOT NULL", "SELECT n_name, nullif(n_regionkey, 2) AS k FROM nation WHERE nullif(n_regionkey, 2) IS NULL OR nullif(n_regionkey, 1) IS NOT NULL"),
-    ("like_ci", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%brass%' AND p_name LIKE 'P_rt%'", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%brass%' AND p_name ILIKE 'P_rt%'"),
+    ("like_ci", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%ro%' AND p_name LIKE 'R_D %'", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%ro%' AND p_name ILIKE 'R_D %'"),
     ("not_like", "SELECT p_partkey FROM part WHERE p_brand NOT LIKE 'brand#1%'", "SELECT p_partkey FROM part WHERE p_brand NOT ILIKE 'brand#1%'"),
     ("similar_to", "SELECT n_name FROM nation WHERE n_name SIMILAR TO '_1[0-5]$' OR n_name NOT SIMILAR TO '[0-9]'", "SELECT n_name FROM nation WHERE regexp_matches(n_name, '_1[0-5]$') OR NOT regexp_matches(n_name, '[0-9]')"),
     ("sounds_like", "SELECT a.n_name AS x, b.r_name AS y FROM nation a CROSS JOIN region b WHERE a.n_name SOUNDS LIKE 'Natian' AND b.r_name SOUNDS LIKE 'Ashia'", "SELECT a.n_name AS x, b.r_name AS y FROM nation a CROSS JOIN region b WHERE b.r_name = 'ASIA'"),
@@ -72,6 +72,10 @@ FUNCTIONS = [
     ("date_subtraction", "SELECT o_orderkey, (o_orderdate - #1995-01-01#).Days AS d, o_orderdate.AddDays(10) AS later FROM orders", "SELECT o_orderkey, CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS INTEGER) AS d, o_orderdate + INTERVAL 10 DAY AS later FROM orders"),
     ("conversion_to_x", "SELECT n_nationkey, TO_INT32(n_nationkey + 0.5) AS i, TO_INT64(TO_STRING(n_nationkey)) AS l, TO_DOUBLE(n_nationkey) AS d, TO_STRING(n_nationkey > 2) AS s, TO_BOOLEAN(n_regionkey) AS b, TO_INT16('12') AS h FROM nation", "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE n_nationkey + 1 END AS INTEGER) AS i, CAST(n_nationkey AS BIGINT) AS l, CAST(n_nationkey AS DOUBLE) AS d, CASE WHEN n_nationkey > 2 THEN 'True' ELSE 'False' END AS s, n_regionkey <> 0 AS b, CAST(12 AS SMALLINT) AS h FROM nation"),
     ("conversion_others", "SELECT TO_BYTE(200) AS b, TO_SBYTE(-5) AS sb, TO_UINT16(65535) AS u2, TO_UINT32('4294967295') AS u4, TO_SINGLE(1.5) AS f, TO_CHAR('x') AS c, TO_DATETIME('2020-01-02') AS t, TO_DECIMAL(7) AS d", "SELECT CAST(200 AS SMALLINT) AS b, CAST(-5 AS TINYINT) AS sb, 65535 AS u2, CAST(4294967295 AS BIGINT) AS u4, CAST(1.5 AS FLOAT) AS f, 'x' AS c, TIMESTAMP '2020-01-02' AS t, CAST(7 AS DECIMAL(38,18)) AS d"),
+    ("to_uint64", "SELECT n_nationkey, TO_UINT64(n_nationkey) AS u, TO_UINT64('18446744073709551615') AS m FROM nation", "SELECT n_nationkey, CAST(n_nationkey AS DECIMAL(20, 0)) AS u, CAST(18446744073709551615 AS DECIMAL(20, 0)) AS m FROM nation"),
+    ("dates_of_now", "SELECT (GETDATE() - GETDATE()).Days AS d, YEAR(GETUTCDATE()) >= 2024 AS a, (GETUTCDATE() - GETDATE()).Days AS u", "SELECT 0 AS d, TRUE AS a, 0 AS u"),
+    ("cultures", "SELECT n_nationkey, TO_STRING(n_nationkey * 1.5, 'de-DE') AS s, TO_DOUBLE('1.234,5', 'de-DE') + n_nationkey AS d, FORMAT(n_nationkey * 1000.5, 'N2', 'de-DE') AS f, TO_STRING(#2020-01-02 03:04:05#, 'en-GB') AS t, TO_DATETIME('31.12.2020', 'de-DE') AS x, UPPER('ai', 'tr-TR') AS u, LOWER('I', 'tr-TR') AS l FROM nation", "SELECT n_nationkey, replace(regexp_replace(CAST(n_nationkey * CAST(1.5 AS DOUBLE) AS VARCHAR), '\\.0$', ''), '.', ',') AS s, CAST(1234.5 AS DOUBLE) + n_nationkey AS d, translate(format('{:,.2f}', n_nationkey * CAST(1000.5 AS DOUBLE)), ',.', '.,') AS f, '02/01/2020 03:04:05' AS t, TIMESTAMP '2020-12-31' AS x, 'Aİ' AS u, 'ı' AS l FROM nation"),
+    ("format_masks", "SELECT c_custkey, FORMAT(c_acctbal, 'F1') AS f, FORMAT(c_acctbal, '#,##0.00') AS m, FORMAT(c_custkey, 'D6') AS d, FORMAT(c_custkey, 'X4') AS x FROM customer", "SELECT c_custkey, format('{:.1f}', c_acctbal) AS f, format('{:,.2f}', c_acctbal) AS m, format('{:06d}', c_custkey) AS d, format('{:04X}', c_custkey) AS x FROM customer"),
     ("format_number_date", "SELECT n_nationkey, FORMAT(n_nationkey * 1000.5, 'N2') AS n, FORMAT(n_nationkey, '000') AS z, FORMAT(#2020-01-02#, 'yyyy-MM-dd') AS d FROM nation", "SELECT n_nationkey, format('{:,.2f}', n_nationkey * CAST(1000.5 AS DOUBLE)) AS n, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS z, '2020-01-02' AS d FROM nation"),
 ]
 
@@ -85,6 +89,7 @@ AGGREGATES = [
     ("agg_concat", "SELECT n_regionkey, CONCAT(n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     ("agg_stdev_var", "SELECT l_returnflag, ROUND(STDEV(l_quantity), 6) AS s, ROUND(VAR(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS s, round(var_samp(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag"),
     ("agg_min_max_types", "SELECT MIN(c_name) AS a, MAX(c_acctbal) AS b, MIN(c_nationkey) AS c, MAX(c_nationkey > 3) AS d FROM customer", "SELECT min(c_name) AS a, max(c_acctbal) AS b, min(c_nationkey) AS c, max(c_nationkey > 3) AS d FROM customer"),
+    ("agg_group_of_nothing", "SELECT COUNT(*) AS k FROM (SELECT n_regionkey, COUNT(*) AS n FROM nation WHERE n_nationkey < 0 GROUP BY n_regionkey) AS d", "SELECT CAST(0 AS BIGINT) AS k"),
     ("count_star_vs_col", "SELECT COUNT(*) AS a, COUNT(NULLIF(n_regionkey, 2)) AS b, COUNT(NULL) AS c FROM nation", "SELECT CAST(count(*) AS BIGINT) AS a, CAST(count(nullif(n_regionkey, 2)) AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM nation"),
     ("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
     ("distinct_order_by", "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders ORDER BY 2 DESC, o_orderpriority", "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders"),
@@ -104,7 +109,7 @@ JOINS = [
     ("join_full", "SELECT a.n_nationkey AS x, b.s_suppkey AS y FROM nation a FULL OUTER JOIN supplier b ON a.n_nationkey = b.s_suppkey", "SELECT a.n_nationkey AS x, b.s_suppkey AS y FROM nation a FULL JOIN supplier b ON a.n_nationkey = b.s_suppkey"),
     ("join_full_theta", "SELECT a.n_nationkey AS x, b.r_regionkey AS y FROM nation a FULL JOIN region b ON a.n_nationkey > b.r_regionkey + 22", "SELECT a.n_nationkey AS x, b.r_regionkey AS y FROM nation a FULL JOIN region b ON a.n_nationkey > b.r_regionkey + 22"),
     ("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
-    ("join_nested_paren", "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r LEFT JOIN (nation n INNER JOIN supplier s ON s.s_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey AND s.s_suppkey < 20", "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r LEFT JOIN (nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey AND s.s_suppkey < 20"),
+    ("join_nested_paren", "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r LEFT JOIN (nation n INNER JOIN supplier s ON s.s_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey AND s.s_acctbal > 8000.0", "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r LEFT JOIN (nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey AND s.s_acctbal > 8000"),
     ("join_on_subquery", "SELECT r.r_name, n.n_name FROM region r INNER JOIN nation n ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20)", "SELECT r.r_name, n.n_name FROM region r, nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20)"),
     ("join_left_on_subquery", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN (SELECT a.r_regionkey AS k, n.* FROM region a JOIN nation n ON n.n_regionkey = a.r_regionkey WHERE EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > a.r_regionkey * 20 + 60)) n ON n.k = r.r_regionkey"),
     ("join_right_on_subquery", "SELECT r.r_name, n.n_name FROM nation n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN (SELECT a.r_regionkey AS k, n.* FROM region a JOIN nation n ON n.n_regionkey = a.r_regionkey WHERE EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > a.r_regionkey * 20 + 60)) n ON n.k = r.r_regionkey"),
@@ -113,16 +118,21 @@ JOINS = [
 ]
 
 SUBQUERIES = [
-    ("sub_scalar", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 2 * (SELECT AVG(o_totalprice) FROM orders) - 10.0", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 2 * (SELECT avg(o_totalprice) FROM orders) - 10"),
+    ("sub_scalar", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 2 * (SELECT AVG(o_totalprice) FROM orders) - 90000.0", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 2 * (SELECT avg(o_totalprice) FROM orders) - 90000"),
     ("sub_scalar_correlated", "SELECT n.n_name, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900.0) AS k FROM nation n", "SELECT n.n_name, CAST((SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900) AS BIGINT) AS k FROM nation n"),
     ("sub_scalar_empty_null", "SELECT r_name, (SELECT MAX(n_name) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 2) AS m FROM region", "SELECT r_name, (SELECT max(n_name) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 2) AS m FROM region"),
     ("sub_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000.0)", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)"),
-    ("sub_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000.0)", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)"),
+    ("sub_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000.0)", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)"),
     ("sub_exists_in_or", "SELECT n_name FROM nation n WHERE n_regionkey = 0 OR EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000.0)", "SELECT n_name FROM nation n WHERE n_regionkey = 0 OR EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000)"),
     ("sub_exists_as_column", "SELECT n_name, EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000.0) AS rich FROM nation n", "SELECT n_name, EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000) AS rich FROM nation n"),
     ("sub_in", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950.0)", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950)"),
     ("sub_not_in", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950.0)", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950)"),
     ("sub_not_in_with_null", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 3) FROM region)", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 3) FROM region)"),
+    ("sub_not_in_null_operand", "SELECT n_name FROM nation WHERE NULLIF(n_regionkey, 1) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)", "SELECT n_name FROM nation WHERE nullif(n_regionkey, 1) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)"),
+    ("sub_not_in_nothing", "SELECT n_name, NULLIF(n_regionkey, 1) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS a, n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 3) FROM region) AS b, n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2) AS c FROM nation", "SELECT n_name, TRUE AS a, FALSE AS b, n_regionkey <= 2 AS c FROM nation"),
+    ("sub_not_in_correlated", "SELECT n_name FROM nation n WHERE n_regionkey NOT IN (SELECT s.s_suppkey % 5 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)", "SELECT n_name FROM nation n WHERE n_regionkey NOT IN (SELECT s.s_suppkey % 5 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)"),
+    ("sub_any_all_nulls", "SELECT n_nationkey, n_nationkey > ANY (SELECT NULLIF(r_regionkey, 0) FROM region) AS a, n_nationkey <= ALL (SELECT NULLIF(r_regionkey, 0) FROM region) AS b, n_nationkey < ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS c, NULLIF(n_regionkey, 2) > ANY (SELECT r_regionkey FROM region) AS d, n_regionkey = ALL (SELECT 1) AS e, n_regionkey <> ALL (SELECT r_regionkey FROM region WHERE r_regionkey < 3) AS f, n_regionkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 1) AS g, n_regionkey < ANY (SELECT r_regionkey FROM region WHERE r_regionkey > 99) AS h FROM nation", "SELECT n_nationkey, n_nationkey > 1 AS a, FALSE AS b, TRUE AS c, coalesce(nullif(n_regionkey, 2) > 0, FALSE) AS d, n_regionkey = 1 AS e, n_regionkey > 2 AS f, n_regionkey <> 0 AS g, FALSE AS h FROM nation"),
+    ("sub_all_correlated", "SELECT c_custkey FROM customer c WHERE c_acctbal >= ALL (SELECT d.c_acctbal FROM customer d WHERE d.c_nationkey = c.c_nationkey)", "SELECT c_custkey FROM customer c WHERE c_acctbal >= (SELECT max(d.c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey)"),
     ("sub_any", "SELECT n_name FROM nation WHERE n_nationkey < ANY (SELECT r_regionkey FROM region) AND n_nationkey <> ANY (SELECT 1)", "SELECT n_name FROM nation WHERE n_nationkey < (SELECT max(r_regionkey) FROM region) AND n_nationkey <> 1"),
     ("sub_all", "SELECT n_name FROM nation WHERE n_nationkey >= ALL (SELECT r_regionkey + 10 FROM region)", "SELECT n_name FROM nation WHERE n_nationkey >= (SELECT max(r_regionkey + 10) FROM region)"),
     ("sub_some", "SELECT n_name FROM nation n WHERE n_nationkey = SOME (SELECT s_nationkey FROM supplier s WHERE s.s_acctbal > 9000.0)", "SELECT n_name FROM nation n WHERE n_nationkey IN (SELECT s_nationkey FROM supplier s WHERE s.s_acctbal > 9000)"),
@@ -130,7 +140,7 @@ SUBQUERIES = [
     ("sub_in_case", "SELECT n_name, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN (SELECT MAX(r_name) FROM region WHERE r_regionkey = n_nationkey) ELSE 'none' END AS k FROM nation", "SELECT n_name, CASE WHEN n_nationkey IN (SELECT r_regionkey FROM region) THEN (SELECT max(r_name) FROM region WHERE r_regionkey = n_nationkey) ELSE 'none' END AS k FROM nation"),
     ("derived_table", "SELECT d.k, d.n FROM (SELECT n_regionkey AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey) AS d WHERE d.n > 4", "SELECT d.k, CAST(d.n AS BIGINT) AS n FROM (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey) AS d WHERE d.n > 4"),
     ("sub_skip_level", "SELECT r.r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey > 0 AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND s.s_acctbal > 9500.0))", "SELECT r.r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey > 0 AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND s.s_acctbal > 9500))"),
-    ("sub_skip_level_scalar", "SELECT n.n_name, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT MAX(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS k FROM nation n WHERE n.n_nationkey < 9", "SELECT n.n_name, CAST((SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT max(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS BIGINT) AS k FROM nation n WHERE n.n_nationkey < 9"),
+    ("sub_skip_level_scalar", "SELECT n.n_name, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT MAX(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS k FROM nation n", "SELECT n.n_name, CAST((SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > (SELECT max(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = n.n_nationkey)) AS BIGINT) AS k FROM nation n"),
     ("sub_nested_two_levels", "SELECT r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9500.0))", "SELECT r_name FROM region r WHERE EXISTS (SELECT * FROM nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9500))"),
 ]
 

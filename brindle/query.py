@@ -14,6 +14,8 @@ from brindle.diagnostics import Diagnostic, QueryError, fail
 from brindle.dialect import syntax, types
 from brindle.dialect.binder import Binder, Relation, Scope
 from brindle.dialect.parser import parse_expression, parse_query
+from brindle.operators.relational import lift_row_limit
+from brindle.reader import TypedReader
 
 
 def output_names(names: list[str]) -> list[str]:
@@ -58,10 +60,12 @@ class Query:
     def dataframe(self) -> DataFrame:
         relation, binder = self._bound
         spark = self.catalog.spark
-        for name in binder.udfs:
+        for name in (u for u in binder.udfs if u in relation.sql):
             from brindle.functions.python import register
 
             register(spark, name)
+        if binder.recursive:
+            lift_row_limit(spark)
         args = {v: self.catalog.variables[v][1] for v in binder.variables}
         df = spark.sql(relation.sql, args=args) if args else spark.sql(relation.sql)
         return df.select() if not relation.columns else df.toDF(*output_names([c.name for c in relation.columns]))
@@ -69,6 +73,9 @@ class Query:
     def reader(self) -> Iterator[Row]:
         return self.dataframe().toLocalIterator()
 
+    def typed_reader(self) -> TypedReader:
+        return TypedReader(self.dataframe())
+
     def schema(self) -> T.StructType:
         return self.dataframe().schema
 
@@ -115,7 +122,7 @@ class Expression:
         node = parse_expression(self.text)
         query = Query(self.catalog, "", self.strict)
         binder = Binder(self.catalog, self.strict)
-        bound = binder.expr(node, Scope())
+        bound = binder.expr(node, Scope(place="AggregateInvalidInCurrentContext"))
         if self.target is not None and not types.converts(bound.type, self.target):
             raise fail("CannotConvert", f"{types.shown(bound.type)} cannot be converted to {self.target}")
         relation = binder.root(syntax.Root(0, [], syntax.Select(0, False, None, False, [syntax.Item(0, node, syntax.Name(0, "value"))], None, None, None, None)))

@@ -92,6 +92,23 @@ def test_diagnostics(catalog, text, wrong):
     assert [d.id for d in Query(catalog, text).diagnostics()] == [wrong]
 
 
+def test_ambiguous(spark, catalog):
+    boxed = spark.createDataFrame([((1, 2),)], "p struct<a: int, A: int>")
+    point = boxed.schema["p"].dataType
+    c = catalog.with_table("B", boxed).with_variable("V", 6).with_aggregate("G", "int", "max({0})").with_aggregate("g", "int", "min({0})")
+    c = c.with_operator("+", (point, "double"), "int", "1").with_operator("+", (point, "decimal"), "int", "2").with_conversion(point, "int", "1").with_conversion(point, "int", "2")
+    cases = {"SELECT @v": "AmbiguousVariable", "SELECT v": "AmbiguousReference", "SELECT p.a FROM B": "AmbiguousProperty", "SELECT G(1)": "AmbiguousAggregate", "SELECT p + 1 FROM B": "AmbiguousBinaryOperator", "SELECT CAST(p AS INT) FROM B": "AmbiguousConversion"}
+    assert {t: [d.id for d in Query(c, t).diagnostics()] for t in cases} == {t: [w] for t, w in cases.items()}
+    assert Query(c, "SELECT p + 1.5 AS x FROM B").scalar() == 1
+    assert Query(c.without_aggregate("G"), "SELECT G(1)").diagnostics()[0].id == "UndeclaredFunction"
+    with pytest.raises(ValueError, match="AggregateInvalidInCurrentContext"):
+        Expression(catalog, "COUNT(*)").evaluate()
+    wrong = Query(catalog, "SELECT 1 FROM T FULL JOIN U ON EXISTS (SELECT 1 FROM T x WHERE x.Id = T.Id AND x.Id = U.Id)")
+    assert [d.id for d in wrong.diagnostics()] == ["UnsupportedSubqueryInOn"]
+    with pytest.raises(ValueError, match="UnsupportedCulture"):
+        Expression(catalog, "TO_STRING(1.5, 'xx-XX')").evaluate()
+
+
 def test_names(catalog):
     assert Query(catalog, 'SELECT "Id" FROM T').diagnostics() == []
     assert Query(catalog, 'SELECT "id" FROM T').diagnostics() != []

@@ -68,6 +68,80 @@ def test_recursion_limit(catalog):
         rows(catalog, counter.format(101))
 
 
+def test_recursion_beyond_a_million_rows(spark):
+    edges = spark.range(1, 1_200_001).selectExpr("id as child", "cast(0 as long) as parent")
+    assert ops.hierarchy(edges, "child", "parent", spark.range(1).toDF("child")).count() == 1_200_001
+    c = Catalog(spark).with_table("E", edges)
+    assert rows(c, "WITH t (n) AS (SELECT TO_INT64(0) UNION ALL SELECT e.child FROM E e JOIN t ON e.parent = t.n) SELECT COUNT(*) FROM t") == [(1_200_001,)]
+
+
+def test_no_forced_broadcasts(spark, small):
+    from brindle.queries import QUERIES
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("sub_not_in", "sub_not_in_with_null", "sub_not_in_null_operand", "sub_not_in_nothing", "sub_not_in_correlated", "sub_any", "sub_all", "sub_some", "sub_any_all_nulls", "sub_all_correlated"):
+            plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan and "Cartesian" not in plan, (name, plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_typed_reader(spark):
+    import datetime as dt
+
+    c = Catalog(spark).with_table("t", spark.createDataFrame([(1, "x", 1.5, None, True, dt.datetime(2020, 1, 2), bytearray(b"abc"))], "i int, S string, d double, n int, b boolean, w timestamp_ntz, z binary"))
+    with Query(c, "SELECT * FROM t").typed_reader() as r:
+        with pytest.raises(RuntimeError):
+            r.value(0)
+        assert r.read() and r.field_count == 7 and r.name(1) == "S" and r.ordinal("s") == 1 and r.type_name(0) == "int"
+        assert (r.int32("i"), r.byte(0), r.string("S"), r.char(1), r.double("D"), r.boolean("b"), r.datetime("w").year, r.blob("z", 1)) == (1, 1, "x", "x", 1.5, True, 2020, b"bc")
+        assert r.is_null("n") and r["i"] == 1 and r.values()[0] == 1
+        for get in (lambda: r.int32("n"), lambda: r.string("i"), lambda: r.int32("d"), lambda: r.boolean("i")):
+            with pytest.raises(TypeError):
+                get()
+        with pytest.raises(IndexError):
+            r.value("nope")
+        assert not r.read()
+
+
+def test_catalog_removals(spark):
+    from brindle.catalog import ForeignKey, Provider
+
+    class Lengths(Provider):
+        def properties(self, kind):
+            return {"Twice": ("string", "concat({0}, {0})")} if kind == "string" else {}
+
+        def methods(self, kind):
+            return {"Plus": (("string",), "string", "concat({0}, {1})")} if kind == "string" else {}
+
+    lengths = Lengths()
+    full = Catalog(spark).with_table("t", spark.createDataFrame([(1, "x")], "a int, s string")).with_variable("v", 1).with_function("F", ("int",), "int", "{0} + 1").with_aggregate("G", "int", "max({0})").with_property("string", "P", "int", "1").with_method("string", "M", (), "int", "2").with_comparer("binary", "hex({0})").with_provider(lengths)
+    full = full.with_relation(ForeignKey("t", ("a",), "t", ("a",)))
+    assert rows(full, "SELECT s.Twice AS a, s.Plus('y') AS b, F(v) AS c, s.P AS d, s.M() AS e FROM t") == [("xx", "xy", 2, 1, 2)]
+    assert rows(full, "SELECT G(a) AS g FROM t") == [(1,)]
+    bare = full.without_variable("v").without_function("f").without_aggregate("g").without_property("string", "p").without_method("string", "m").without_comparer("binary").without_provider(lengths).without_relation(full.relations[0])
+    assert not any((bare.variables, bare.functions, bare.aggregates, bare.properties, bare.methods, bare.comparers, bare.providers, bare.relations))
+    with pytest.raises(KeyError):
+        bare.without_variable("v")
+    full.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in full._views.values()]
+
+
+def test_native_masks_equal_the_function(spark):
+    values = [0.0, 1.0, -1.0, 0.5, 2.5, 1234.565, -1234567.891, 0.004, 12.0, 99.995]
+    masks = ["N2", "N0", "F1", "F3", "P1", "E2", "E3", "#,##0.00", "0.##", "000", "#.0#", "#,#00"]
+    c = Catalog(spark).with_table("t", spark.createDataFrame([(v,) for v in values], "v double"))
+    q = Query(c, "SELECT v, " + ", ".join(f"FORMAT(v, '{m}') AS m{i}" for i, m in enumerate(masks)) + " FROM t")
+    assert "brindle_format" not in q.sql()
+    for row in q.dataframe().collect():
+        for m, got in zip(masks, row[1:], strict=True):
+            assert got.replace("-0.00", "0.00").replace("-0.0", "0.0") == format_number(row[0], m).replace("-0.00", "0.00").replace("-0.0", "0.0"), (row[0], m)
+    q = Query(c, "SELECT TOP 1 FORMAT(-7, 'D3') AS a, FORMAT(255, 'x') AS b, FORMAT(12.0, '$#.#!') AS c, REGEX_UNESCAPE('a\\.b') AS d FROM t")
+    assert [tuple(r) for r in q.dataframe().collect()] == [("-007", "ff", "$12!", "a.b")]
+
+
 def test_strict_mode(catalog):
     text = "SELECT AVG(EmployeeID * 2 + 1) AS a, NULLIF(1, NULL) AS n, VAR(ReportsTo) AS v FROM Employees"
     assert rows(catalog, "SELECT AVG(RegionID) AS a FROM Region", strict=True) == [(2,)]
