@@ -1,23 +1,31 @@
 """License scans: a paragraph classifier, its predictions confirmed against templates.
 
-1. Features are the two- and three-word strings of the templates below. A
-   softmax regression over the families and "unknown" is trained on variations
-   of the templates (words dropped, ends cut, other words around) and, as
-   unknown, on paragraphs of a bounded sample of documents and on sentences that
-   mix license words out of order.
+1. Templates are the notices and the names below, the names set into statements
+   ("this software is licensed under ..."). Features are their two- and
+   three-word strings, sparse. A softmax regression over the families and
+   "unknown" is trained on variations of the templates (words dropped, ends cut,
+   other words around) and, as unknown, on paragraphs of a bounded sample of
+   documents, on sentences that mix license words out of order, and on scraps of
+   two or three words of a template.
 2. On variations that were held back, a temperature is fitted to the
    probabilities, so that they mean what they say, and the least probability at
    which a family is believed.
 3. A prediction stands if the paragraph holds CONFIRM of the three-word strings
-   of one of the family's templates, or is made up of them to that share.
+   of one of the family's templates, or is made up of them to that share, and has
+   a string of two or three words that only this family's templates have.
 
 A paragraph without any known string has the intercepts' class, which training
 holds at unknown; so whole texts are searched for known word pairs first, and
 only paragraphs that have one are scored. A paragraph is a line.
 
-Defined results: null and empty texts give no row; rows of one doc_id are one
-document, whose paragraphs add up; a null doc_id is a value like any other; extra columns are not
-read.
+The sample: paragraphs of the first SAMPLE documents by a hash, PARAGRAPHS of each,
+train the unknown class; both bounds are parameters of training, whole texts of
+all documents are scanned.
+
+Defined results: null and empty texts give no row; very long texts are scanned
+whole; of families that are equally likely the first of CLASSES counts; rows of one
+doc_id are one document, whose paragraphs add up; a null doc_id is a value like any
+other; an empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,48 +40,78 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents whose paragraphs train the unknown class, and paragraphs of each, at most; variations of a template.
-SAMPLE, PARAGRAPHS, VARIATIONS = 400, 10, 60
+#: Documents whose paragraphs train the unknown class, and paragraphs of each, at most; variations of a family's templates.
+SAMPLE, PARAGRAPHS, VARIATIONS = 400, 10, 400
 #: The share of a template's three-word strings that confirms.
 CONFIRM = 0.5
 UNKNOWN = "unknown"
 
-# Notices by which works name their license.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT license. See the LICENSE file for details.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",
-    ),
+# Names of licenses, their SPDX identifiers, and notices by which works name them.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("the MIT license",),
+    "Apache": ("the Apache License, Version 2.0", "the Apache 2.0 license", "Apache License 2.0"),
+    "GPL": ("the GNU General Public License, version 3", "the GNU General Public License version 2", "the GNU GPL v3", "the GNU GPL"),
+    "LGPL": ("the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License version 3", "the GNU LGPL v3"),
+    "AGPL": ("the GNU Affero General Public License, version 3", "the GNU AGPL v3"),
+    "BSD": ("the BSD 3-Clause License", "the BSD 2-Clause License", "the new BSD license", "a BSD-style license"),
+    "MPL": ("the Mozilla Public License, version 2.0", "the Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "EPL": ("the Eclipse Public License, version 2.0", "the Eclipse Public License v1.0"),
+    "ISC": ("the ISC license",),
+    "Unlicense": ("the Unlicense",),
+    "CC-BY-NC": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons BY-NC license"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY": ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License"),
+    "CC0": ("CC0 1.0", "the CC0 1.0 Universal public domain dedication"),
+}
+SPDX: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT",),
+    "Apache": ("Apache-2.0",),
+    "GPL": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "LGPL": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause"),
+    "MPL": ("MPL-2.0",),
+    "EPL": ("EPL-1.0", "EPL-2.0"),
+    "ISC": ("ISC",),
+    "Unlicense": ("Unlicense",),
+    "CC-BY-NC": ("CC-BY-NC-4.0",),
+    "CC-BY-SA": ("CC-BY-SA-4.0",),
+    "CC-BY": ("CC-BY-4.0",),
+    "CC0": ("CC0-1.0",),
+}
+STATEMENTS = (
+    "Licensed under {}.",
+    "This software is licensed under {}.",
+    "This work is licensed under {}.",
+    "Distributed under the terms of {}.",
+    "Released under {}, see the LICENSE file for details.",
+    "Use of this source code is governed by {} that can be found in the LICENSE file.",
+    "This file is made available under {}.",
+)
+NOTICES: dict[str, tuple[str, ...]] = {
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",),
     "Apache": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind",
     ),
-    "GPL": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-        "Distributed under the terms of the GNU General Public License version 2.",
-    ),
-    "LGPL": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "GPL": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",),
+    "LGPL": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
+    "AGPL": ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at",),
+    "EPL": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",),
+    "CC0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "This work is dedicated to the public domain"),
+    "Proprietary": (
+        "All rights reserved.",
+        "No part of this work may be reproduced without the prior written permission of the publisher.",
+        "This document is confidential and proprietary. Unauthorized copying or distribution is prohibited.",
     ),
-    "AGPL": (
-        "Licensed under the GNU Affero General Public License, version 3.",
-        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
-    ),
-    "BSD": (
-        "Released under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC0": ("This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "Proprietary": ("All rights reserved.", "All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher.", "This document is confidential and proprietary. Unauthorized copying or distribution is prohibited."),
+}
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    f: (*(line.format(n) for n in NAMES.get(f, ()) for line in STATEMENTS), *(f"SPDX-License-Identifier: {i}" for i in SPDX.get(f, ())), *NOTICES.get(f, ()))
+    for f in (*NAMES, "Proprietary")
 }
 CLASSES = (*TEMPLATES, UNKNOWN)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -96,11 +134,14 @@ class Model:
     temperature: float = 1.0
     least: float = 0.5
     templates: dict[str, list[frozenset]] = field(default_factory=dict)
+    #: Strings that the templates of one family only have.
+    own: dict[str, frozenset] = field(default_factory=dict)
 
     def probabilities(self, paragraphs: list[list[str]]) -> np.ndarray:
         z = np.repeat(self.weights[-1:], len(paragraphs), axis=0)
         for i, ws in enumerate(paragraphs):
-            known = [p for g in {*_grams(ws, 2), *_grams(ws, 3)} if (p := self.place.get(g)) is not None]
+            # In one order everywhere, so that the sums are the same to the last digit.
+            known = sorted(p for g in {*_grams(ws, 2), *_grams(ws, 3)} if (p := self.place.get(g)) is not None)
             if known:
                 z[i] += self.weights[known].sum(axis=0)
         z /= self.temperature
@@ -110,7 +151,7 @@ class Model:
     def similarity(self, family: str, ws: list[str]) -> float:
         """The larger share, of a template's three-word strings or of the paragraph's, that both have."""
         own = frozenset(_grams(ws, 3))
-        if not own:
+        if not own or self.own[family].isdisjoint([*own, *_grams(ws, 2)]):
             return 0.0
         return max(max(len(own & t) / len(t), len(own & t) / len(own)) for t in self.templates[family])
 
@@ -149,17 +190,27 @@ def train(paragraphs: list[str], seed: int = 5) -> Model:
     pieces = [w for ts in known.values() for ws in ts for w in ws]
     # Paragraphs that themselves name a license do not teach the unknown class.
     plain = [ws for ws in plain if not any(g in place for g in _grams(ws, 3))]
-    filler = sorted({w for ws in plain for w in ws})[:5000] or pieces
+    filler = sorted({w for ws in plain for w in ws}) or pieces
     examples, labels = [], []
     for k, ts in enumerate(known.values()):
+        each = max(4, VARIATIONS // len(ts))
         for ws in ts:
-            for v in range(VARIATIONS):
-                examples.append(ws if v < VARIATIONS // 4 else _variation(ws, filler, rng))
+            for v in range(each):
+                examples.append(ws if v < each // 4 else _variation(ws, filler, rng))
                 labels.append(k)
     mixed = [[pieces[int(i)] for i in rng.integers(0, len(pieces), rng.integers(4, 30))] for _ in range(600)]
     # Two or three words of a notice are not one, unless they are a whole one.
     whole = {tuple(ws) for ts in known.values() for ws in ts}
-    scraps = [[*ws[int(a) : int(a) + 3], *(filler[int(i)] for i in rng.integers(0, len(filler), 12))] for ts in known.values() for ws in ts for a in rng.integers(0, max(1, len(ws) - 3), 12) if tuple(ws[int(a) : int(a) + 3]) not in whole]
+    family_of: dict[tuple[str, ...], set[str]] = {}
+    for f, ts in known.items():
+        for ws in ts:
+            for g in (*_grams(ws, 2), *_grams(ws, 3)):
+                family_of.setdefault(g, set()).add(f)
+    scraps = [
+        [*ws[int(a) : int(a) + 3], *(filler[int(i)] for i in rng.integers(0, len(filler), 12))]
+        for ts in known.values() for ws in ts for a in rng.integers(0, max(1, len(ws) - 3), 3)
+        if tuple(ws[int(a) : int(a) + 3]) not in whole and len(family_of.get(tuple(ws[int(a) : int(a) + 3]), ())) != 1
+    ]
     for ws in [*plain, *mixed, *scraps, []]:
         examples.append(ws)
         labels.append(len(CLASSES) - 1)
@@ -185,7 +236,7 @@ def train(paragraphs: list[str], seed: int = 5) -> Model:
         w += 2.0 * step
     # Without any known string the answer has to be unknown.
     w[-1, -1] = max(w[-1, -1], w[-1, :-1].max() + 2.0)
-    model = Model(place, w, templates={f: [frozenset(_grams(ws, 3)) for ws in ts] for f, ts in known.items()})
+    model = Model(place, w, templates={f: [t for ws in ts if (t := frozenset(_grams(ws, 3)))] for f, ts in known.items()}, own={f: frozenset(g for g, fs in family_of.items() if fs == {f}) for f in known})
     if held.any():
         z, truth = x[held] @ w, y[held]
 
