@@ -13,16 +13,21 @@ on its own. The cuts are found for many texts at once by character classes; the
 library's model encodes each distinct piece, once per worker while it is remembered.
 Pieces are told apart by 64-bit hashes. Texts with characters beyond the
 scripts whose classes are long settled, or with a special token's string, go
-through the library whole.
-
-Defined results: null and empty texts have the end id alone; null doc_ids come
-first; rows of one doc_id are ordered by a hash of their text; repeated rows
-give a row each; extra columns are not read.
+through the library whole; so do all texts where the tokenizer's file asks for
+anything else than byte-level pieces (a normalizer, a blank put before texts,
+another pre-tokenizer, model or rule of truncation).
+
+Defined results: null and empty texts have the end id alone; very long texts are
+encoded whole, by the library if they are beyond a chunk; null doc_ids come
+first; rows of one doc_id are ordered by a hash of their text, ties among them are
+equal rows; repeated rows give a row each; an empty table gives none; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -62,6 +67,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.levels = max(1, (self.library.get_vocab_size() - 1).bit_length())
+        self.by_pieces = self._is_plain(json.loads(self.library.to_str()))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.classes = _classes()
         rng = np.random.default_rng(20)
@@ -69,9 +75,20 @@ class Encoder:
         base = int(rng.integers(0, 2**62)) * 2 + 1
         self.powers = np.cumprod(np.full(2 * _CHARS, base, np.uint64))
         self.inverse = np.cumprod(np.full(2 * _CHARS, pow(base, -1, 2**64), np.uint64))
-        self.names = self._byte_names()
+        self.names = self._byte_names() if self.by_pieces else {}
         self._forget()
 
+    @staticmethod
+    def _is_plain(file: dict) -> bool:
+        """Whether texts are cut as cuts() does and each piece goes to the model alone."""
+        cutter, model = file.get("pre_tokenizer") or {}, file["model"]
+        return (
+            not any(file.get(k) for k in ("normalizer", "truncation", "padding"))
+            and (cutter.get("type"), cutter.get("add_prefix_space"), cutter.get("use_regex", True)) == ("ByteLevel", False, True)
+            and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk"))
+        )
+
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
@@ -115,7 +132,7 @@ class Encoder:
         for hi, text in enumerate(texts, 1):
             size += len(text)
             if size >= _CHARS or hi == len(texts):
-                parts.append(self._chunk(texts[lo:hi]))
+                parts.append((self._chunk if self.by_pieces else self._by_library)(texts[lo:hi]))
                 lo, size = hi, 0
         if not parts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
