@@ -14,8 +14,10 @@ Only sums per source and per (source, range) are gathered; no text is shuffled
 before the copies are known.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-the last; a source without words has target 0; repeated rows count each. Extra
-columns are kept by mix(), not read by the rest.
+the last; a source without words has target 0; very long texts are counted whole;
+repeated rows count each; ties in the hash order go by doc_id, then size, and equal
+rows are interchangeable; an empty table gives none. Extra columns are kept by
+mix(), not read by the rest.
 """
 
 from __future__ import annotations
@@ -146,7 +148,14 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    return mix_plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", due(place(), F.col("target"), F.col("start_rate")).alias("first_due"))
+    """doc_id, size, source_size, target, taken, copies, first_due (the moment of the first copy; null if none is taken), range-sorted by it.
+
+    The rows stand in training order: those of a partition before all of the next, documents that are not taken last.
+    """
+    first = F.when(F.col("copies") > 0, due(place(), F.col("target"), F.col("start_rate")))
+    plan = mix_plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", first.alias("first_due"))
+    order = [F.col("first_due").asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame) -> DataFrame:
