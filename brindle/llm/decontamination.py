@@ -22,7 +22,8 @@ follows: windows that hold one are taken each way, in items and documents. Windo
 that hold names are also taken with their words, so that copies in other case are
 found.
 
-Defined results: null and empty texts and items hold nothing; an item with
+Defined results: null and empty texts and items hold nothing; very long texts are
+read whole, a part at a time; ties do not arise; empty tables give no rows; an item with
 fewer words than a window is one window, and so is found only in documents of
 at least as many words; repeated rows of a document give one result row; a null
 doc_id or item_id is a value like any other. Extra columns are kept by
@@ -38,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.shared import written
@@ -268,21 +269,42 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def bit_table(windows: DataFrame) -> bytes:
-    """TABLE_BITS bits, those of the windows' hashes set; at most that many places go to the driver."""
-    unsigned = F.pmod(F.col("hash"), F.lit(TABLE_BITS)).cast("int")
-    spots = windows.select(unsigned.alias("spot")).distinct().toPandas()["spot"].to_numpy(np.int64)
-    bits = np.zeros(TABLE_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
-    return bits.tobytes()
+    """TABLE_BITS bits, those of the windows' hashes set. Tasks set them, 64 at once; TABLE_BITS / 64 numbers at most go to the driver."""
+    spot = F.pmod(F.col("hash"), F.lit(TABLE_BITS)).cast("int")
+    one = F.expr(f"shiftleft(1L, CAST(pmod(hash, {TABLE_BITS}) AS INT) & 63)")
+    words = windows.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    table = np.zeros(TABLE_BITS // 64, "<i8")
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return table.tobytes()
+
+
+def rare_windows(theirs: DataFrame, coverage: float) -> DataFrame:
+    """hash and item of the windows of each item by which its copies are sought.
+
+    A document that holds coverage of an item's places has one at least of any
+    set that is larger than the rest; the places whose windows the fewest items
+    share make the fewest candidates.
+    """
+    often = theirs.groupBy("hash").agg(F.countDistinct("item").alias("often"))
+    places = theirs.join(often, "hash").groupBy("item", "n", "place").agg(F.sum("often").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "place"))
+    chosen = places.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(coverage * F.col("n") - 1e-9) + 1)
+    return theirs.join(chosen.select("item", "place"), ["item", "place"], "left_semi").select("hash", "item").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, text_hash, item_id, n_matched, n_windows, coverage, exact: a row for each document and item that it holds."""
     theirs = item_windows(items)
+    rare = written(rare_windows(theirs, coverage), "rare")
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(_emitter(["doc_id", "text_hash"], bit_table(theirs)), "doc_id long, text_hash long, place long, hash long, slots array<long>, loose boolean")
     # Readings of a place that hash alike have the same slots.
     own = own.groupBy("doc_id", "text_hash", "place", "hash").agg(F.first("slots").alias("slots"), F.min("loose").alias("loose"))
-    met = own.join(theirs.withColumnsRenamed({"place": "item_place", "slots": "item_slots", "loose": "item_loose"}), "hash")
+    own = written(own, "own")
+    # Only pairs that share a rare window are looked at; a window that many items have makes no pairs of its own.
+    asked = own.join(rare, "hash").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("item").alias("__i")).distinct()
+    pairs = own.join(asked, own["doc_id"].eqNullSafe(asked["__d"]) & (own["text_hash"] == asked["__t"]))
+    named = theirs.withColumnsRenamed({"place": "item_place", "slots": "item_slots", "loose": "item_loose", "hash": "__h"})
+    met = pairs.join(named, (F.col("hash") == F.col("__h")) & (F.col("__i") == F.col("item")))
     by = ["doc_id", "text_hash", "item", "item_id", "n"]
     met = written(met.select(*by, (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_slots", "slots", (F.col("loose") | F.col("item_loose")).alias("loose")), "met")
     filled = met.select(*by, "shift", "loose", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*by, "shift", "loose", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).filter("a <> 0 and b <> 0")
