@@ -19,7 +19,13 @@ def write(uri: str, data: bytes) -> None:
     part = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(part) as f:
         f.write(data)
-    system.move(part, path)
+    try:
+        system.move(part, path)
+    except OSError:
+        # Some file systems refuse a name that is taken: another attempt of the task wrote the same bytes there.
+        if system.get_file_info(path).type != fs.FileType.File or system.get_file_info(path).size != len(data):
+            raise
+        system.delete_file(part)
 
 
 class Reader:

@@ -1,8 +1,8 @@
 """WARC records in ZIP packages, written and read in place.
 
 A package is a ZIP file whose members are stored, not deflated: the archive (a
-WARC file, each record gzip'd on its own), its index (one line of JSON a record:
-place and length in the archive) and a description. The reader parses the end
+WARC file, each record gzip'd on its own), its index (a CDXJ line a record: search
+key, time, place and length in the archive) and a description. The reader parses the end
 record, the ZIP64 locator and end record where there are any, and the central
 directory; a stored member then is a range of the package, and a record a range
 of the member, read without unpacking anything else.
@@ -14,7 +14,9 @@ packages of PACKAGE bytes at most plus one record. Reading is one package a task
 Defined results: a null html is an empty payload; of equal payloads of LEAST
 bytes or more the rows with the smallest page_id are responses (all of them, if
 that page_id repeats), the others revisit it; rows without a page_id revisit
-too where another row has one, else are responses; extra columns are not read.
+too where another row has one, else are responses; repeated rows give a record
+each; very long payloads are one record, of which a task holds one package's; an
+empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -40,7 +44,8 @@ from brindle.llm.shared import scratch, written
 #: Payloads shorter than this are never revisits; bytes of a package's archive.
 LEAST, PACKAGE = 100, 16 << 20
 Read = Callable[[int, int], bytes]
-_EPOCH = "2020-01-01T00:00:00Z"
+_EPOCH, _TIMESTAMP = "2020-01-01T00:00:00Z", "20200101000000"
+_PAGES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -189,20 +194,24 @@ def _bare(label: str) -> str:
     return base64.b32decode(code + "=" * (-len(code) % 8)).hex()
 
 
+def record_id(page_id: int | None) -> str:
+    """The same for a page in each run, so that revisits name their original without looking it up."""
+    return f"<urn:uuid:{uuid.uuid5(_PAGES, '' if page_id is None else str(page_id))}>"
+
+
 def page_record(page_id: int | None, url: str | None, html: str, digest: str, revisits: int | None) -> bytes:
     payload = html.encode("utf-8", "surrogatepass")
     size = str(len(payload))
-    headers = [("WARC-Type", "response" if revisits is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", _EPOCH), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", _labelled(digest)), ("Content-Type", "application/http; msgtype=response")]
+    headers = [("WARC-Type", "response" if revisits is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("Page-ID", "" if page_id is None else str(page_id)), ("WARC-Date", _EPOCH), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", _labelled(digest)), ("Content-Type", "application/http; msgtype=response")]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if revisits is None:
         return record(headers, http + payload)
-    headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{revisits}>")]
+    headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(revisits)), ("Refers-To-Page-ID", str(revisits))]
     # A revisit keeps the HTTP headers, so the payload's length, but not the payload.
     return record(headers, http)
 
 
-def _page(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:page:").removesuffix(">")
+def _page(number: str | None) -> int | None:
     return int(number) if number else None
 
 
@@ -214,8 +223,10 @@ def read_page(raw: bytes) -> dict[str, object]:
     digest = _bare(headers["warc-payload-digest"])
     if headers["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a payload does not match its digest")
-    refers = headers.get("warc-refers-to")
-    return {"page_id": _page(headers["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": headers["warc-type"], "refers_to": _page(refers) if refers else None}
+    page_id, refers = _page(headers["page-id"]), _page(headers.get("refers-to-page-id"))
+    if headers["warc-record-id"] != record_id(page_id) or (refers is not None and headers["warc-refers-to"] != record_id(refers)):
+        raise ValueError("a record's id is not that of its page")
+    return {"page_id": page_id, "payload_bytes": size, "payload_digest": digest, "record_type": headers["warc-type"], "refers_to": refers}
 
 
 # ---------------------------------------------------------------- the operator
@@ -231,25 +242,37 @@ def with_originals(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when((F.col("size") >= LEAST) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("revisits"))
 
 
+def search_key(url: str | None) -> str:
+    """A URL as indexes sort it: its host's parts from the last on, a bracket, then the path; without scheme and "www."."""
+    rest = (url or "").strip().lower().partition("://")
+    host, slash, path = (rest[2] or rest[0]).partition("/")
+    name, _, port = host.rpartition("@")[2].partition(":")
+    parts = name.removeprefix("www.").split(".")
+    key = ",".join(reversed(parts)) + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (slash + path or "/")
+    return re.sub(r"\s", lambda m: "".join(f"%{b:02x}" for b in m[0].encode()), key)
+
+
 def package(records: list[tuple[int | None, str | None, bytes]]) -> bytes:
-    """A package of records, each with its page_id and url for the index."""
+    """A package of records, each with its page_id and url for the index: CDXJ lines (key, time, JSON), sorted."""
     lines, at = [], 0
     for page_id, url, raw in records:
-        lines.append(json.dumps({"page_id": page_id, "url": url, "offset": at, "length": len(raw)}))
+        about_it = {"url": url or "", "filename": ARCHIVE.rpartition("/")[2], "offset": str(at), "length": str(len(raw)), "page_id": page_id}
+        lines.append(f"{search_key(url)} {_TIMESTAMP} {json.dumps(about_it)}")
         at += len(raw)
+    lines.sort()
     about = json.dumps({"profile": "data-package", "records": len(records), "archive": ARCHIVE, "index": INDEX})
     return zip_stored([(ARCHIVE, b"".join(r[2] for r in records)), (INDEX, "\n".join(lines).encode()), (ABOUT, about.encode())])
 
 
 def read_package(read: Read, size: int) -> Iterator[dict[str, object]]:
-    """Every page of a package, in the order of its index, each record by its own range."""
+    """Every page of a package, in the order of its archive, each record by its own range."""
     held = ZipPackage(read, size)
     base, room = held.start(ARCHIVE), held.members[ARCHIVE].size
-    for line in held.whole(INDEX).decode().splitlines():
-        entry = json.loads(line)
-        if entry["offset"] + entry["length"] > room:
+    entries = (json.loads(line.split(" ", 2)[2]) for line in held.whole(INDEX).decode().split("\n") if line)
+    for offset, length in sorted((int(e["offset"]), int(e["length"])) for e in entries):
+        if offset + length > room:
             raise ValueError("the index points outside the archive")
-        yield read_page(read(base + entry["offset"], entry["length"]))
+        yield read_page(read(base + offset, length))
 
 
 def _writer(folder: str):  # noqa: ANN202
