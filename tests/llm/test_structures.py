@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import json
 import random
 import re
 import zipfile
@@ -12,9 +13,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyarrow import fs
 from tokenizers import Tokenizer
 
-from brindle.llm import anchors, ann, blobs, graph, simhash, substrings, suffixes, tokens, warc, wavelet
+from brindle.llm import anchors, ann, blobs, graph, shared, simhash, substrings, suffixes, tokens, warc, wavelet
 
 TEXTS = "doc_id long, text string"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -215,6 +217,18 @@ def test_encoder_equals_the_library():
             assert got.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0], t
 
 
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}}])
+def test_other_tokenizers_go_through_the_library(tmp_path, change):
+    file = json.loads(Tokenizer.from_file(VOCABULARY).to_str()) | change
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    library, encoder = Tokenizer.from_file(str(tmp_path / "other.json")), tokens.Encoder(str(tmp_path / "other.json"))
+    texts = ["Hello World 2024", " don't", "", "A1b2\n\nC"]
+    ids, counts = encoder.encode(texts)
+    assert not encoder.by_pieces and tokens.Encoder(VOCABULARY).by_pieces
+    for t, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == [*library.encode(t, add_special_tokens=False).ids, 0]
+
+
 def test_token_shards(spark, monkeypatch):
     monkeypatch.setattr(tokens, "SHARD", 2000)
     rng = random.Random(6)
@@ -351,6 +365,67 @@ def test_warc_round_trip(spark, monkeypatch):
     assert {tuple(r) for r in found} == expected and len(found) == len(rows)
 
 
+def test_index_and_ids_of_records():
+    pages = [(2, "https://www.Example.com:443/b?q=1", "x"), (1, "http://a.example.com/ü x", "y"), (None, None, "z"), (3, "http://u@example.com:8080", "w")]
+    data = warc.package([(i, u, warc.page_record(i, u, h, hashlib.sha256(h.encode()).hexdigest(), None)) for i, u, h in pages])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        lines = z.read(warc.INDEX).decode().splitlines()
+    assert [line.split(" ")[0] for line in lines] == [")/", "com,example)/b?q=1", "com,example,a)/ü%20x", "com,example:8080)/"] and lines == sorted(lines)
+    for line in lines:
+        _, stamp, rest = line.split(" ", 2)
+        assert re.fullmatch("[0-9]{14}", stamp) and {"url", "filename", "offset", "length"} <= set(json.loads(rest))
+    headers, _ = warc.parse(warc.page_record(7, "http://x", "", hashlib.sha256(b"").hexdigest(), 5))
+    assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", headers["warc-record-id"]) and headers["warc-refers-to"] == warc.record_id(5)
+    assert sorted(p["page_id"] or 0 for p in warc.read_package(blobs.from_bytes(data), len(data))) == [0, 1, 2, 3]
+
+
+def test_a_large_payload(spark):
+    text = "".join(random.Random(4).choice("abcé ") for _ in range(1_500_000))
+    found = warc.warc_digest(spark.createDataFrame([(1, "u", text), (2, "v", text)], "page_id long, url string, html string")).collect()
+    raw = text.encode()
+    assert {tuple(r) for r in found} == {(1, len(raw), hashlib.sha256(raw).hexdigest(), "response", None), (2, len(raw), hashlib.sha256(raw).hexdigest(), "revisit", 1)}
+
+
+def test_files_where_a_name_is_taken(tmp_path, monkeypatch):
+    """A second attempt of a task, on a file system that refuses to rename onto a file."""
+
+    class Refusing:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def move(self, a, b):
+            if self.inner.get_file_info(b).type == fs.FileType.File:
+                raise FileExistsError(b)
+            self.inner.move(a, b)
+
+    system = Refusing(fs.LocalFileSystem())
+    monkeypatch.setattr(blobs, "_at", lambda uri: (system, uri))
+    path = str(tmp_path / "d" / "x")
+    blobs.write(path, b"same")
+    blobs.write(path, b"same")
+    assert [p.name for p in (tmp_path / "d").iterdir()] == ["x"]
+    with pytest.raises(FileExistsError):
+        blobs.write(path, b"another length")
+
+
+def test_scratch_needs_a_shared_folder():
+    class Spark:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+            class getConf:  # noqa: N801
+                get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(Spark())
+
+
 def test_warc_odd_rows(spark):
     big = "é" * 60
     rows = [(1, "u", big), (1, "u", big), (2, None, big), (None, "z", big), (None, "q", None), (5, "a", "")]

@@ -133,6 +133,37 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in scored)
 
 
+def plain_score(text, model):
+    """One document's score by loops over tokens: messages in each direction, marginals, the curve."""
+    emissions = toxicity.Emissions(model)
+    emit = [emissions[w] for w in (text or "").split()]
+    most, some = -12.0, 0.0
+    if emit:
+        t01, t10, t11 = np.exp(model.trans)
+        fore = [np.exp(model.start) * np.exp(emit[0])]
+        for e in emit[1:]:
+            fore.append(np.exp(e) * (t01 + t11 * fore[-1]) / (1 + t10 * fore[-1]))
+        back = [1.0]
+        for e in emit[:0:-1]:
+            x = np.exp(e) * back[-1]
+            back.append((t10 + t11 * x) / (1 + t01 * x))
+        odds = np.log(fore) + np.log(back[::-1])
+        most, some = float(np.clip(odds.max(), -12, 12)), float(np.log1p((1 / (1 + np.exp(-np.clip(odds, -30, 30)))).sum()))
+    c0, c1, c2 = model.curve
+    return 1 / (1 + np.exp(-np.clip(c0 + c1 * most + c2 * some, -30, 30)))
+
+
+def test_toxicity_against_plain_scores(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    found = {r.doc_id: r.score for r in toxicity.toxicity_digest(docs, labels).collect()}
+    for r in docs.collect():
+        assert found[r.doc_id] == pytest.approx(plain_score(r.text, model), abs=1e-9)
+    # What the held-out fold's labels say makes no difference.
+    turned = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fit(docs, turned) == model
+
+
 # ---------------------------------------------------------------- licenses
 
 
@@ -153,6 +184,131 @@ def test_licenses():
     assert all(model.classify(t)[0] == f for t, f in held)
 
 
+HELD_OUT = {
+    "MIT": [
+        "Released under the MIT License.",
+        "The code is available under the MIT license.",
+        "Copyright (c) 2020 Jane Doe. Published under the MIT License.",
+        "SPDX-License-Identifier: MIT",
+        "// spdx-license-identifier: mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this data",
+    ],
+    "Apache": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Published under the Apache License, Version 2.0",
+        "SPDX-License-Identifier: Apache-2.0",
+        "This project uses the Apache 2.0 license",
+        "Licensed to the foundation under the Apache License, Version 2.0 (the License)",
+        "software distributed under the License is distributed on an as is basis, without warranties",
+    ],
+    "GPL": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Covered by the GNU General Public License version 2 or later",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "You can redistribute it under the GNU GPL v3",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    ],
+    "LGPL": [
+        "Available under the GNU Lesser General Public License, version 2.1",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "AGPL": [
+        "Covered by the GNU Affero General Public License, version 3",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "BSD": [
+        "Released under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Redistribution and use in source and binary forms are permitted provided that the following conditions are met",
+    ],
+    "MPL": [
+        "SPDX-License-Identifier: MPL-2.0",
+        "Covered by the Mozilla Public License, version 2.0",
+    ],
+    "EPL": [
+        "SPDX-License-Identifier: EPL-2.0",
+        "Published under the Eclipse Public License, version 2.0",
+    ],
+    "ISC": [
+        "SPDX-License-Identifier: ISC",
+        "Released under the ISC license",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+    ],
+    "Unlicense": [
+        "SPDX-License-Identifier: Unlicense",
+        "Released into the wild under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+    ],
+    "CC-BY-NC": [
+        "Licensed under CC BY-NC 4.0.",
+        "Photos are available under CC BY-NC 4.0",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ],
+    "CC-BY-SA": [
+        "Text is available under CC BY-SA 4.0",
+    ],
+    "CC-BY": [
+        "Figures are published under CC BY 4.0",
+    ],
+    "CC0": [
+        "Data is published under CC0 1.0",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "Proprietary": [
+        "All rights reserved.",
+        "Copyright 2019 Example Corp. All rights reserved.",
+        "No part of this book may be reproduced without the prior written permission of the author.",
+    ],
+    "unknown": [
+        "the public has a license for version 3 of this work",
+        "",
+        "MIT",
+        "SPDX-License-Identifier: FooBar-1.0",
+        "all of the rights of man",
+        "a driver's license is needed",
+        "he studied at the MIT and got a license",
+        "the file is made available under the table",
+        "see the LICENSE file for details",
+        "This software is great",
+        "version 2.0 is out",
+        "the terms of the contract",
+        "published by the Free Press Foundation",
+        "Licensed under the Foo License, Version 1.0",
+    ],
+}
+
+
+def test_licenses_on_lines_that_are_no_template(small):
+    import duckdb
+
+    docs = duckdb.sql(f"SELECT text FROM '{small}/documents.parquet'").fetchall()
+    model = licenses.train([line for (t,) in docs for _, line in list(licenses.paragraphs_of(t or ""))[: licenses.PARAGRAPHS]])
+    made = {tuple(licenses.words(t)) for ts in licenses.TEMPLATES.values() for t in ts}
+    lines = [(t, f) for f, ts in HELD_OUT.items() for t in ts if tuple(licenses.words(t)) not in made]
+    found = [(f, model.classify(t)[0]) for t, f in lines]
+    assert len(found) >= 40
+    named = [(f, g) for f, g in found if g != licenses.UNKNOWN]
+    assert sum(f == g for f, g in named) >= 0.95 * len(named)
+    real = [(f, g) for f, g in found if f != licenses.UNKNOWN]
+    assert sum(f == g for f, g in real) >= 0.9 * len(real)
+
+
+def test_license_scan_against_brute_force(spark, small):
+    """Each line of each whole text classified on its own."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    extra = spark.createDataFrame([(10**6 + i, "x y\n" + "\n".join(ts) + "\nand more", 1) for i, ts in enumerate(HELD_OUT.values())], "doc_id long, text string, family int")
+    both = docs.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    model = licenses.train([])
+    found = {(r.doc_id, r.start, r.end, r.family, round(r.score, 9)) for r in licenses.scan(both, model).collect()}
+    expected = set()
+    for r in both.collect():
+        for at, line in licenses.paragraphs_of(r.text or ""):
+            family, score, _ = model.classify(line)
+            if family != licenses.UNKNOWN:
+                expected.add((r.doc_id, at, at + len(line), family, round(score, 9)))
+    assert found == expected and len({f for *_, f, _ in expected}) == len(licenses.TEMPLATES)
+
+
 def test_license_lines_of_documents(spark):
     kinds = {
         "All rights reserved.": "Proprietary",
@@ -193,6 +349,47 @@ def test_reparameterised_questions(spark):
     assert {(r.doc_id, r.exact) for r in found} == {(1, True), (2, False), (5, True)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_reparameterised_questions_by_construction(spark, seed):
+    """Items with slots and shared beginnings; copies with other values, with values that do not fit, and parts of items."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    name = lambda: word().capitalize()
+    start = [word() for _ in range(8)]
+    items, docs, truth = [], [], set()
+    for i in range(50):
+        slots = [rng.choice(["{n0}", "{n1}", "{p0}", "{p1}"]) for _ in range(6)] + ["{n0}", "{n1}", "{p0}", "{p1}", "{n0}", "{p0}"]
+        body = [*start, *(x for s in slots for x in (word(), s, word()))]
+
+        def filled(n0, n1, p0, p1, body=body):
+            return [x.format(n0=n0, n1=n1, p0=p0, p1=p1) for x in body]
+
+        values = rng.sample(range(10, 99), 4)
+        items.append((i, " ".join(filled(*values[:2], name(), name()))))
+        other = filled(*values[2:], name(), name())
+        broken = list(other)
+        # One of the places of a slot gets another value, so the map is not one-to-one.
+        at = [k for k, x in enumerate(body) if x == "{n0}"]
+        broken[at[0]] = "1000"
+        around = lambda: " ".join(word() for _ in range(rng.randint(0, 30)))
+        for text, hit in ((other, True), (broken, False), (other[: len(other) // 2], False), (filled(*values[:2], name(), name()), True)):
+            docs.append((len(docs), f"{around()} {' '.join(text)} {around()}".strip()))
+            if hit:
+                truth.add((docs[-1][0], i))
+        docs.append((len(docs), " ".join(start) + " " + around()))
+    found = decontamination.decontamination_digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == truth
+
+
+def test_bit_table(spark):
+    rng = random.Random(9)
+    hashes = [rng.randrange(-(2**63), 2**63) for _ in range(3000)] + [0, -1, decontamination.TABLE_BITS - 1]
+    table = np.frombuffer(decontamination.bit_table(spark.createDataFrame([(h,) for h in hashes], "hash long")), np.uint8)
+    spots = {h % decontamination.TABLE_BITS for h in hashes}
+    assert len(table) == decontamination.TABLE_BITS // 8 and int(np.unpackbits(table).sum()) == len(spots)
+    assert decontamination._in_table(np.array(hashes, np.int64).view(np.uint64), table).all()
+
+
 def test_names_that_open_sentences(spark):
     tom = "Tom has 3 apples. Tom gives Anna 2 apples. Then Anna buys 5 pears. How many pears and apples do they have?"
     marie = "In the end the old man told Anna Marie that 4 of his boats had left the harbour"
@@ -249,11 +446,15 @@ def test_mixing(spark, seed):
     taken = collections.Counter()
     for r in found:
         s = source[r.doc_id]
-        assert r.source_size == sizes[s] and r.target == pytest.approx(targets[s]) and 0 <= r.taken <= 3 * r.size and 0 <= r.first_due <= 1
+        assert r.source_size == sizes[s] and r.target == pytest.approx(targets[s]) and 0 <= r.taken <= 3 * r.size
+        assert (r.first_due is None) == (r.copies == 0) and 0 <= (r.first_due or 0) <= 1
         taken[s] += r.taken
     for s in sizes:
         assert abs(taken[s] - targets[s]) <= max(150, 0.02 * targets[s])
-    assert sorted(map(tuple, found)) == sorted(map(tuple, mixing.mix_digest(df.repartition(7)).collect()))
+    moments = [r.first_due for r in found]
+    taken_ones = [m for m in moments if m is not None]
+    assert moments[: len(taken_ones)] == sorted(taken_ones)
+    assert sorted(map(repr, found)) == sorted(map(repr, mixing.mix_digest(df.repartition(7)).collect()))
 
 
 def test_mixed_rows_come_in_order(spark):
