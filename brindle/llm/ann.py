@@ -3,12 +3,15 @@
 1. Equal vectors are one entry that keeps its K + 1 smallest ids (a query may be
    one of them), cut down before any shuffle; so copies, however many, cost one
    node and ties come out right.
-2. Entries are dealt at random to shards of about SHARD rows. Each shard's graph
-   is a hierarchy: a node is in layer l with probability FAN ** -l. In a layer a
-   node's candidates are its nearest in that layer; of these it keeps those that
-   are nearer to it than to any neighbour kept before (and the links back to it,
-   chosen likewise, up to DEGREE, twice that in layer 0), which is the choice an
-   insertion makes, with exact candidates. The neighbours are flat int32 arrays.
+2. Entries are dealt at random to shards of what SHARD_BYTES hold, so that their
+   number grows slowly: a query meets every shard. Each shard's graph is a
+   hierarchy: a node is in layer l with probability FAN ** -l. In a layer a node's
+   candidates are the nearest of its cells (the rows nearest to one of its CELLS
+   nearest pivots, of CELL rows about; a layer of that size is one cell, whose
+   candidates are exact); of these it keeps those that are nearer to it than to any
+   neighbour kept before (and the links back to it, chosen likewise, up to DEGREE,
+   twice that in layer 0), which is the choice an insertion makes. The work of a
+   row does not depend on the size of its shard. Neighbours are flat int32 arrays.
 3. Queries are packed into blocks. A task holds one shard's graph and takes one
    block after another: greedy descent through the upper layers, then a beam of
    EF in layer 0, for all queries of the block side by side.
@@ -18,8 +21,9 @@
 Defined results: vectors that are null, zero, empty, or hold a null or
 non-finite component, and rows without an id, take no part; repeated rows count
 once as candidates (all rows with the query's own id are its own); vectors
-of another length than most take part among their like; fewer candidates than K
-give fewer rows; extra columns are not read.
+of another length than most take part among their like; very long vectors make
+smaller shards; fewer candidates than K give fewer rows, empty tables none; ties go
+to the smaller id; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +38,14 @@ from pyspark.sql import functions as F
 
 from brindle.llm.shared import written
 
-#: Neighbours returned; rows of a shard; queries of a block; blocks that a graph is sent for.
-K, SHARD, BLOCK, GROUP = 5, 8192, 512, 32
+#: Neighbours returned; bytes of a shard's vectors and graph; queries of a block; blocks that a graph is sent for.
+K, SHARD_BYTES, BLOCK, GROUP = 5, 16 << 20, 512, 32
+#: Rows of a cell, about, and cells of a row.
+CELL, CELLS = 2048, 3
 #: Links of a node in an upper layer, candidates it chooses from, beam of a search, one node in FAN is in the next layer.
-DEGREE, CANDIDATES, EF, FAN = 16, 64, 192, 16
+DEGREE, CANDIDATES, EF, FAN = 16, 64, 256, 16
+#: Nodes of a beam whose links are followed at once.
+STEP = 4
 QUERY_EVERY = 50
 
 
@@ -48,6 +56,62 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
+def shard_rows(dim: int) -> int:
+    """The vectors (as given and of length one) and the links of so many rows are SHARD_BYTES."""
+    return max(64, SHARD_BYTES // (8 * dim + 8 * DEGREE + 16))
+
+
+def _cells(unit: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Sets of rows of CELL to about twice that; each row is in CELLS of those around it."""
+    n = len(unit)
+
+    def dealt(rows: np.ndarray, near: int) -> list[np.ndarray]:
+        if len(rows) <= 2 * CELL:
+            return [rows]
+        m = -(-len(rows) * near // CELL)
+        pivots = unit[rng.permutation(rows)[:m]]
+        owner = np.empty((len(rows), near), np.int64)
+        for lo in range(0, len(rows), 4096):
+            sim = unit[rows[lo : lo + 4096]] @ pivots.T
+            owner[lo : lo + 4096] = np.argpartition(-sim, near - 1, axis=1)[:, :near]
+        flat, member = owner.reshape(-1), np.repeat(rows, near)
+        order = np.argsort(flat, kind="stable")
+        parts = np.split(member[order], np.cumsum(np.bincount(flat, minlength=m))[:-1])
+        # Where one pivot draws most rows, its cell is dealt again; rows that no pivots part are cut by place.
+        out: list[np.ndarray] = []
+        for part in parts:
+            if len(part) >= 0.9 * len(rows):
+                out += np.array_split(part, -(-len(part) // CELL))
+            elif len(part):
+                out += dealt(part, 1)
+        return out
+
+    return dealt(np.arange(n), CELLS)
+
+
+def _among(unit: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
+    """Each row's k nearest others of its cells, nearest first; -1 where there are fewer."""
+    n = len(unit)
+    cells = _cells(unit, np.random.default_rng(seed))
+    if len(cells) == 1:
+        return _nearest(unit, k)
+    ids, sims = np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32)
+    for cell in cells:
+        found = _nearest(unit[cell], k)
+        there = found >= 0
+        new = np.where(there, cell[np.maximum(found, 0)], -1).astype(np.int32)
+        sim = np.where(there, np.einsum("nd,nkd->nk", unit[cell], unit[np.maximum(new, 0)]), -np.inf)
+        both, value = np.concatenate([ids[cell], new], axis=1), np.concatenate([sims[cell], sim], axis=1)
+        # Of an id that two cells gave the second goes.
+        order = np.argsort(both, axis=1, kind="stable")
+        both, value = np.take_along_axis(both, order, 1), np.take_along_axis(value, order, 1)
+        value[:, 1:][both[:, 1:] == both[:, :-1]] = -np.inf
+        best = np.argsort(-value, axis=1, kind="stable")[:, :k]
+        ids[cell], sims[cell] = np.take_along_axis(both, best, 1), np.take_along_axis(value, best, 1)
+    ids[sims == -np.inf] = -1
+    return ids
+
+
 def _nearest(unit: np.ndarray, k: int) -> np.ndarray:
     """Each row's k nearest others, nearest first; -1 where there are fewer."""
     n = len(unit)
@@ -90,7 +154,7 @@ def _diverse(unit: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
 def _layer(unit: np.ndarray, degree: int) -> np.ndarray:
     """Flat neighbour arrays of one layer: links out and links back, at most 2 * degree each."""
     n = len(unit)
-    forward = _diverse(unit, _nearest(unit, min(CANDIDATES, max(1, n - 1))), degree)
+    forward = _diverse(unit, _among(unit, min(CANDIDATES, max(1, n - 1))), degree)
     src = np.repeat(np.arange(n, dtype=np.int64), forward.shape[1])
     dst = forward.reshape(-1).astype(np.int64)
     src, dst = src[dst >= 0], dst[dst >= 0]
@@ -127,42 +191,50 @@ def build(vectors: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def _beam(unit: np.ndarray, links: np.ndarray, query: np.ndarray, enter: np.ndarray, ef: int) -> np.ndarray:
-    """For each query the ef best nodes (places, best first, -1: none) that a beam search from enter (queries x entries) meets."""
+    """For each query the ef best nodes (places, best first, -1: none) that a beam search from enter (queries x entries) meets.
+
+    All queries go side by side; a step follows the links of each one's STEP best nodes that are still to be looked at.
+    """
     q, n = len(query), len(unit)
-    seen = np.zeros((q, n), bool)
-    rows = np.arange(q)
-    ids = np.full((q, ef), -1, np.int64)
-    sims = np.full((q, ef), -np.inf, np.float32)
-    done = np.ones((q, ef), bool)
+    seen, last = np.zeros((q, n), bool), np.empty((q, n), np.int32)
+    ids, sims, done = np.full((q, ef), -1, np.int32), np.full((q, ef), -np.inf, np.float32), np.ones((q, ef), bool)
 
     def merge(new: np.ndarray, who: np.ndarray) -> None:
         """new: places, -1 where none; who: the queries of its rows."""
-        ok = new >= 0
-        at = np.where(ok, new, 0)
-        ok &= ~seen[who[:, None], at]
-        # A place met twice in one row counts once.
-        order = np.argsort(np.where(ok, at, -1), axis=1, kind="stable")
-        at, ok = np.take_along_axis(at, order, 1), np.take_along_axis(ok, order, 1)
-        ok[:, 1:] &= ~(ok[:, :-1] & (at[:, 1:] == at[:, :-1]))
-        r, c = np.nonzero(ok)
-        seen[who[r], at[r, c]] = True
-        sim = np.full(at.shape, -np.inf, np.float32)
-        sim[r, c] = np.einsum("nd,nd->n", query[who[r]], unit[at[r, c]])
-        all_ids = np.concatenate([ids[who], np.where(ok, at, -1)], axis=1)
+        r, c = np.nonzero(new >= 0)
+        at, row = new[r, c], who[r]
+        fresh = ~seen[row, at]
+        r, c, at, row = r[fresh], c[fresh], at[fresh], row[fresh]
+        # Of a place met twice in one step the last counts.
+        number = np.arange(len(at), dtype=np.int32)
+        last[row, at] = number
+        once = last[row, at] == number
+        r, c, at, row = r[once], c[once], at[once], row[once]
+        seen[row, at] = True
+        sim, found = np.full(new.shape, -np.inf, np.float32), np.full(new.shape, -1, np.int32)
+        sim[r, c] = np.einsum("nd,nd->n", query[row], unit[at])
+        found[r, c] = at
         all_sims = np.concatenate([sims[who], sim], axis=1)
-        all_done = np.concatenate([done[who], ~ok], axis=1)
-        best = np.argsort(-all_sims, axis=1, kind="stable")[:, :ef]
-        ids[who], sims[who], done[who] = (np.take_along_axis(x, best, 1) for x in (all_ids, all_sims, all_done))
+        best = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
+        ids[who] = np.take_along_axis(np.concatenate([ids[who], found], axis=1), best, 1)
+        done[who] = np.take_along_axis(np.concatenate([done[who], found < 0], axis=1), best, 1)
+        sims[who] = np.take_along_axis(all_sims, best, 1)
 
-    merge(enter, rows)
+    merge(enter, np.arange(q))
+    step = min(STEP, ef)
     while True:
-        open_ = ~done
-        who = np.flatnonzero(open_.any(axis=1))
+        who = np.flatnonzero(~done.all(axis=1))
         if not len(who):
-            return ids
-        first = open_[who].argmax(axis=1)
-        done[who, first] = True
-        merge(links[ids[who, first]].astype(np.int64), who)
+            order = np.argsort(-sims, axis=1, kind="stable")
+            return np.take_along_axis(ids, order, 1)
+        waiting = np.where(done[who], -np.inf, sims[who])
+        pick = np.argpartition(-waiting, step - 1, axis=1)[:, :step]
+        real = np.take_along_axis(waiting, pick, 1) > -np.inf
+        rows = np.repeat(who, step).reshape(-1, step)
+        done[rows[real], pick[real]] = True
+        near = links[np.take_along_axis(ids[who], pick, 1)]
+        near[~real] = -1
+        merge(near.reshape(len(who), -1), who)
 
 
 def search(graph: dict[str, np.ndarray], queries: np.ndarray, ef: int = EF) -> np.ndarray:
@@ -261,7 +333,7 @@ def nearest(table: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     counts = {r["dim"]: r["n"] for r in entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     shards = F.lit(1)
     for dim, n in counts.items():
-        shards = F.when(F.col("dim") == dim, -(-n // SHARD)).otherwise(shards)
+        shards = F.when(F.col("dim") == dim, -(-n // shard_rows(dim))).otherwise(shards)
     dealt = entries.select("*", F.xxhash64("vec").alias("entry"), shards.alias("shards")).withColumn("shard", F.pmod("entry", "shards").cast("int"))
     graphs = written(dealt.groupBy("dim", "shard").applyInPandas(_index, "dim int, shard int, graph binary"), "graphs")
     asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"])
@@ -272,7 +344,7 @@ def nearest(table: DataFrame, every: int = QUERY_EVERY) -> DataFrame:
     n_groups = max(1, -(-n // (BLOCK * GROUP)))
     asks = blocks.withColumn("shards", shards).select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.floor(F.col("block") / GROUP).cast("int").alias("part"), F.lit(True).alias("is_block"), F.col("queries").alias("data"))
     held = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"), F.lit(False).alias("is_block"), F.col("graph").alias("data"))
-    tasks = max(1, sum(-(-c // SHARD) for c in counts.values()) * n_groups)
+    tasks = max(1, sum(-(-c // shard_rows(d)) for d, c in counts.items()) * n_groups)
     met = held.unionByName(asks).repartition(min(tasks, 4096), "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "is_block")
     found = met.mapInPandas(_answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

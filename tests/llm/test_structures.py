@@ -268,7 +268,7 @@ def test_wavelet_matrix(n):
 
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 700)
+    monkeypatch.setattr(ann, "shard_rows", lambda dim: 700)
     monkeypatch.setattr(ann, "BLOCK", 16)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 32))
@@ -291,6 +291,22 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert [v for v, _ in found[50]] == [100, 101, 102, 103, 104]
 
 
+def test_cells_hold_most_neighbours(monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 150)
+    rng = np.random.default_rng(5)
+    spread, lump = rng.normal(size=(1500, 16)), np.ones((900, 16)) + 1e-4 * rng.normal(size=(900, 16))
+    unit = ann._unit(np.concatenate([spread, lump]).astype(np.float32))
+    cells = ann._cells(unit, np.random.default_rng(1))
+    assert len(cells) > 8 and max(map(len, cells)) <= 300 and set(np.concatenate(cells).tolist()) == set(range(2400))
+    found, exact = ann._among(unit[:1500], 10), ann._nearest(unit[:1500], 10)
+    assert np.mean([len(set(a.tolist()) & set(b.tolist())) for a, b in zip(found, exact, strict=True)]) >= 6
+    assert all(i not in row.tolist() and len(set(row.tolist()) - {-1}) == (row >= 0).sum() for i, row in enumerate(found))
+    graph = ann.build(np.concatenate([spread, lump]).astype(np.float32))
+    got = ann.search(graph, spread[:200].astype(np.float32))
+    best = np.argsort(-(unit[:200] @ unit.T), axis=1)[:, :6]
+    assert np.mean([len(set(a[:6].tolist()) & set(b.tolist())) for a, b in zip(got, best, strict=True)]) >= 5.7
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (50, [0.0, 1.0]), (None, [1.0, 1.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [1.0, 1.0]), (7, []), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0])]
