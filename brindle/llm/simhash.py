@@ -20,10 +20,14 @@ shingles. Equal shingle sets are one; each set is dealt to shards by its smalles
 hash under a few mixings, the shard's BK-tree gives the pairs whose fingerprints
 (of the distinct shingles) are near enough, a sketch of the sets passes those that
 may be similar, and the sets themselves decide. A set's likeliest pair is asked
-first, its others only while the two are still apart.
+first, its others only while the two are still apart. A shard that further mixings do
+not part is cut into blocks, and each two blocks meet in a task: no task holds more
+than a bounded number of sets, and no pair is lost.
 
 Defined results: a null text is an empty one and has fingerprint zero, which
-links like any other; repeated rows give a row each; a null doc_id belongs to
+links like any other; very long texts are hashed whole, a block of hashes at a time;
+repeated rows give a row each; ties in a component go to the smallest doc_id, and of
+equal rows one stays; an empty table gives none; a null doc_id belongs to
 the group of its fingerprint, whose component is null if no doc_id is known;
 extra columns are not read.
 """
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.graph import components
-from brindle.llm.shared import row_key, written
+from brindle.llm.shared import removed, row_key, written
 
 BITS, RADIUS, SEED, SHINGLE = 64, 2, 42, 3
 HOT, LEVELS = 4096, 4
@@ -232,7 +236,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """Spanning links x, y of all pairs within the radius; distinct: fp."""
     shards = "path string, key long, fp long"
     rest = distinct.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("key"), "fp")
-    edges = None
+    edges, spent = None, []
     for level in range(LEVELS):
         dealt = rest.mapInPandas(_dealer, shards)
         dealt = written(dealt, "shards") if level else dealt
@@ -241,9 +245,11 @@ def links(distinct: DataFrame) -> DataFrame:
         small = sized if level == LEVELS - 1 else sized.filter(F.col("n") <= HOT)
         got = written(small.repartition("path", "key").sortWithinPartitions("path", "key").select("path", "key", "fp").mapInPandas(_search, "x long, y long"), "links")
         edges = got if edges is None else edges.unionByName(got)
+        spent += [sized] if not level else [dealt, sized]
         rest = sized.filter(F.col("n") > HOT).select("path", "key", "fp")
         if rest.isEmpty():
             break
+    removed(*spent)
     return edges
 
 
@@ -256,6 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     grouped = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = written(grouped, "grouped")
+    removed(least)
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(ids, "component").select("fp", "component", "component_id")
     return prints.join(named, "fp")
@@ -327,11 +334,15 @@ def _features(near: Near, levels: int) -> Callable[[Iterator[pd.DataFrame]], Ite
     return run
 
 
-def _candidates(near: Near, lo: int, hi: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+#: What _candidates() asks: each set's likeliest pair; pairs that would join components; all between components.
+FIRST, JOINING, ALL = range(3)
+
+
+def _candidates(near: Near, mode: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Pairs x, y to be compared, of a partition's shards (rows sorted by key and same; a shard may run over several batches).
 
-    Of each set the pairs that are its lo-th to hi-th by the sketch, where their components are apart. more: the
-    shard has pairs after those; a row without x and y: some of these are apart even if all given are links.
+    Only pairs whose components are apart. more: the shard has other such pairs; a row without x and y: some of
+    these are apart even if all given are links.
     """
     least = near.similarity - near.slack
 
@@ -355,13 +366,26 @@ def _candidates(near: Near, lo: int, hi: int) -> Callable[[Iterator[pd.DataFrame
             held = []
             order = np.lexsort((b, -share, a))
             a, b = a[order], b[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            now = (rank >= lo) & (rank < hi) & (known[a] != known[b])
-            out.append(np.stack([a[now], b[now]], axis=1))
-            _hook(label, a[now], b[now])
-            a, b = a[rank >= hi], b[rank >= hi]
-            more[shard[a]] = True
-            open_[shard[a[_top(label, a) != _top(label, b)]]] = True
+            if mode == FIRST:
+                rank = np.arange(len(a)) - np.searchsorted(a, a)
+                apart = (rank == 0) & (known[a] != known[b])
+                out.append(np.stack([a[apart], b[apart]], axis=1))
+                _hook(label, a[apart], b[apart])
+                a, b = a[rank > 0], b[rank > 0]
+                more[shard[a]] = True
+                open_[shard[a[_top(label, a) != _top(label, b)]]] = True
+                continue
+            apart = known[a] != known[b]
+            a, b = a[apart], b[apart]
+            if mode == ALL:
+                out.append(np.stack([a, b], axis=1))
+                continue
+            joining = _hook(label, a, b)
+            out += joining
+            count = np.bincount(shard[a], minlength=len(more))
+            for pairs in joining:
+                count -= np.bincount(shard[pairs[:, 0]], minlength=len(more))
+            more |= count > 0
         pairs = np.concatenate(out)
         x, y = same[pairs[:, 0]], same[pairs[:, 1]]
         given = pd.DataFrame({"key": key[pairs[:, 0]], "x": np.minimum(x, y), "y": np.maximum(x, y), "more": more[shard[pairs[:, 0]]]}).astype({"x": "Int64", "y": "Int64"})
@@ -425,8 +449,10 @@ def similar_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], near
 
     Sets of that similarity share the smallest hash under one of a few mixings
     (6 at 0.8: all but one in 15,000), so each goes to a shard by each of them.
-    A shard over hot sets is dealt again by further mixings. Each set's likeliest pair
-    is asked first, then all others that are apart, in shards where some may be links.
+    A shard over hot sets is dealt again by further mixings, and one that stays so in the
+    end by blocks: of each two blocks a shard. Each set's likeliest pair is asked first (in
+    whole shards and single blocks); then, there and of two blocks, pairs that would join
+    components; then all that are still apart, where one of those failed.
     """
 
     def keyed(rows: DataFrame, first: int, n: int) -> DataFrame:
@@ -435,32 +461,50 @@ def similar_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], near
         return rows.select("key", "same", "keys", each).select(F.xxhash64("key", "i", "value").alias("key"), "same", "keys")
 
     rest, shards = keyed(sets.select(F.lit(0).cast("long").alias("key"), "same", "keys"), 0, near.keys), None
+    spent: list[DataFrame] = []
     for level in range(levels + 1):
         rest = written(rest, "dealt")
         sizes = written(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
         sized = written(rest.join(sizes, "key"), "sized")
-        small = sized if level == levels else sized.filter(F.col("n") <= hot)
-        shards = small.select("key", "same") if shards is None else shards.union(small.select("key", "same"))
+        spent += [rest, sizes, sized]
+        small = sized.filter(F.col("n") <= hot).select("key", "same", F.lit(True).alias("first"))
+        shards = small if shards is None else shards.union(small)
         crowded = sized.filter(F.col("n") > hot)
-        if level == levels or crowded.isEmpty():
+        if crowded.isEmpty():
+            break
+        if level == levels:
+            shards = shards.union(_in_blocks(crowded, hot))
             break
         rest = keyed(crowded.select("key", "same", "keys"), near.keys + near.more * level, near.more)
-    asked, edges, groups, lo, hi = shards, None, None, 0, 1
-    while True:
-        rows = asked.join(sets.select("same", "fp", "sketch"), "same")
+    shards = written(shards, "shards")
+    removed(*spent)
+    edges, groups, open_ = None, None, None
+    for mode in (FIRST, JOINING, ALL):
+        asked = shards.filter("first") if mode == FIRST else shards.join(open_, "key", "left_semi")
+        if mode == JOINING:
+            asked = asked.union(shards.filter("not first"))
+        rows = asked.drop("first").join(sets.select("same", "fp", "sketch"), "same")
         rows = rows.withColumn("component", F.col("same")) if groups is None else rows.join(groups, "same", "left").withColumn("component", F.coalesce("component", "same"))
         dealt = rows.repartition("key").sortWithinPartitions("key", "same").select("key", "same", "fp", "sketch", "component")
-        got = written(dealt.mapInPandas(_candidates(near, lo, hi), "key long, x long, y long, more boolean"), "candidates")
+        got = written(dealt.mapInPandas(_candidates(near, mode), "key long, x long, y long, more boolean"), "candidates")
         judged = _judged(got.filter("x is not null").select("x", "y").distinct(), texts, near)
         links = judged.filter("good").select("x", "y")
         edges = links if edges is None else edges.union(links)
         failed = got.filter("more").join(judged.filter("not good"), ["x", "y"], "left_semi").select("key")
         open_ = written(got.filter("x is null").select("key").union(failed).distinct(), "open")
-        if open_.isEmpty():
-            return edges
-        asked = shards.join(open_, "key", "left_semi")
+        if open_.isEmpty() and (mode != FIRST or shards.filter("not first").isEmpty()):
+            break
         groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("same"), "component")
-        lo, hi = hi, 1 << 40
+    return edges
+
+
+def _in_blocks(crowded: DataFrame, hot: int) -> DataFrame:
+    """key, same, first of shards that are cut into blocks of half of hot: a shard for each block (first), and for each two."""
+    blocks = F.ceil(2 * F.col("n") / hot).cast("int")
+    own = F.pmod(F.xxhash64("same", F.lit(3)), blocks).cast("int")
+    met = crowded.select("key", "same", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(key.alias("key"), "same", (F.col("own") == F.col("other")).alias("first"))
 
 
 def near_copies(docs: DataFrame, near: Near | None = None, hot: int = HOT, levels: int = 2) -> DataFrame:

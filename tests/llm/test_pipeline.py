@@ -34,7 +34,7 @@ def test_near_copies(spark, hot):
             texts.append(" ".join(copy).upper() + "  " + common)
     texts += ["", None, " \t", "one two", "One  two", "x y"]
     rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])]
-    found = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, same string, fp long").select("doc_id", "text"), hot=hot).collect()}
+    found = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame([(*r, "z", 1, b"own", 2) for r in rows], "doc_id long, text string, same string, fp long, sketch binary, __text long"), hot=hot).collect()}
     sets = [shingles(t) for t in texts]
     loose = list(range(len(texts)))
 
@@ -104,6 +104,105 @@ def test_sketch_estimates():
         assert abs(estimate - both / (2 * n - both)) < 0.09
 
 
+def test_one_large_group_in_blocks(spark):
+    """Copies that share nearly everything, far more than a shard holds, and others that only share a line."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(400)], []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(400), 3):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:60] + [word() for _ in range(300)]) for _ in range(60)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component for r in simhash.near_copies(df, hot=16).collect()}
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if similarity(sets[a], sets[b]) >= 0.8:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    groups = collections.defaultdict(set)
+    for i in range(len(texts)):
+        groups[found[i]].add(top(i))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({top(i) for i in range(len(texts))})
+
+
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, component long, same string, fp long, size string, score string, tier int, copies int, place int, hash long, item long, th long"
+
+
+def test_pipeline_of_odd_rows(spark, small):
+    """Nulls in every column, empty and very long texts, repeats, ties, columns with names that stages use themselves."""
+    rng = random.Random(31)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(150_000))
+    texts = [(1, None), (2, ""), (None, None), (3, "one two three four five six"), (3, "one two three four five six"), (4, "ONE two three four five six"), (5, long), (None, long), (6, long + " end"), (7, "é𝔘 \n\t\x0b x"), (8, "x")]
+    own = (None, 5, "a", 7, "b", "c", 1, 9, 2, 3, 4, 6)
+    rows = [(i, t, None, None if k % 2 else "s", *own) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ODD_COLUMNS)
+    names, given = docs.columns, [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = simhash.written(stage(spark, docs, small), "test")
+        assert docs.columns == names
+        given.append(docs)
+    assert given[1].count() == len(rows)
+    # Of each group the smallest doc_id stays: no words at all, the six words, the long text, and two others.
+    assert sorted(r.doc_id for r in given[2].collect()) == [1, 3, 5, 7, 8]
+    assert given[3].count() == 5
+    assert {r.doc_id for r in given[4].collect()} <= {3, 5, 7, 8} and all(tuple(r)[5:] == own[1:] for r in given[4].collect())
+    final = corpus_pipeline.STAGES[-1][1](spark, docs, small)
+    assert final.count() == docs.count()
+    docs = given[0].limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = simhash.written(stage(spark, docs, small), "test")
+        assert docs.count() == 0
+
+
+def test_pipeline_against_brute_force(spark, small):
+    """The stages that decide, each against a plain version on its own input."""
+    from brindle.llm import decontamination, toxicity
+
+    docs = table(spark, small, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    labels = table(spark, small, "labels")
+    model = toxicity.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.with_toxicity(docs.select("doc_id", "text"), model).collect()}
+    kept = simhash.written(stages["toxicity"](spark, docs, small), "test")
+    assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s < 0.5}
+    rows = {r.doc_id: r.text for r in kept.collect()}
+    sets = {i: shingles(t) for i, t in rows.items()}
+    up = {i: i for i in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    holders = collections.defaultdict(list)
+    for i, own in sets.items():
+        for s in own:
+            holders[s].append(i)
+    pairs = {p for ids in holders.values() for p in itertools.combinations(sorted(ids), 2)}
+    for a, b in pairs:
+        if similarity(sets[a], sets[b]) >= 0.8:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    one_each = simhash.written(stages["near copies"](spark, kept, small), "test")
+    assert {r.doc_id for r in one_each.collect()} == {top(i) for i in rows}
+    items = table(spark, small, "benchmark")
+    clean = {r.doc_id for r in stages["decontamination"](spark, one_each, small).collect()}
+    hits = {r.doc_id for r in decontamination.contaminated(one_each, items).collect()}
+    assert clean == {r.doc_id for r in one_each.collect()} - hits
+    assert not any(b.text in rows[i] for b in items.collect() for i in clean)
+
+
 def test_pipeline(spark):
     small = "/root/testdata/sf0.01"
     docs = table(spark, small, "documents")
