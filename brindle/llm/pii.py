@@ -12,8 +12,9 @@ characters is entered only at its start (or at the end of the match before),
 where the plain pattern would try every place in it, and groups repeat
 possessively, which Java runs as a loop rather than by recursion.
 
-Defined results: a null text is an empty one; null ids, repeated rows and ties
-keep one row per input row; extra columns are not read.
+Defined results: a null text is an empty one; very long texts are read whole;
+null ids and repeated rows keep one row per input row; of spans that start alike the
+kinds' order decides; an empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -49,6 +49,8 @@ END = 0
 #: Ids of a file, characters cut at once, pieces that a worker remembers, and the longest of them.
 SHARD, _CHARS, _PIECES, _LONG = 1 << 21, 1 << 19, 1 << 19, 200
 _L, _N, _O, _S, _UNSURE = range(5)
+# Endings that an apostrophe takes with it.
+_ONE, _TWO = ("s", "t", "m", "d"), ("re", "ve", "ll")
 #: The ranges of characters whose classes the cuts rely on.
 _SETTLED = ((0x00, 0x1B), (0x20, 0x052F), (0x2000, 0x206F), (0x20A0, 0x20BF))
 
@@ -197,8 +199,8 @@ class Encoder:
             letters = np.concatenate([cps, np.zeros(2, cps.dtype)])
             a, b = letters[start[lone] + 1], letters[start[lone] + 2]
             room = end[lone + 1] - start[lone + 1] > 1
-            two = room & (((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108)))
-            one = (a == 115) | (a == 116) | (a == 109) | (a == 100)
+            two = room & np.any([(a == ord(x)) & (b == ord(y)) for x, y in _TWO], axis=0)
+            one = np.isin(a, [ord(x) for x in _ONE])
             k = np.where(one, 1, np.where(two, 2, 0))
             at[lone + 1] += k
             gone = lone[(k > 0) & (at[lone + 1] >= end[lone + 1])] + 1

@@ -17,9 +17,10 @@ into segments whose maps are first multiplied side by side. So no loop runs
 over tokens, whatever the texts' lengths.
 
 Inputs of a score are the text's words only. Defined results: null and empty
-texts get the curve's value for no toxic token; a null doc_id is in the held-out
+texts get the curve's value for no toxic token; very long texts are scored whole; a null doc_id is in the held-out
 fold; repeated rows give a row each; conflicting labels of a doc_id count as
-toxic; without labels of both classes every score is 0. Extra columns are kept
+toxic; without labels of both classes every score is 0; a score of 0.5 counts as toxic;
+an empty table gives no rows. Extra columns are kept
 by filter_toxic(), not read by the rest.
 """
 

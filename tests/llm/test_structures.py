@@ -140,7 +140,7 @@ def brute(rows, width=400, words=51):
     return out
 
 
-@pytest.mark.parametrize(("hot", "shares"), [(8192, 10_000), (1, 10_000), (3, 10)])
+@pytest.mark.parametrize(("hot", "shares"), [(8192, 10_000), (1, 10)])
 def test_substrings(spark, hot, shares, monkeypatch):
     """Whole buckets, and such as are dealt again down to single windows; hot keys by broadcast."""
     monkeypatch.setattr(substrings, "HOT", hot)
