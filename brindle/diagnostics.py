@@ -1,4 +1,7 @@
-"""What the front-end reports about a query, and the errors it raises."""
+"""What the front-end reports about a query, and the errors it raises.
+
+The ids of diagnostics are fixed values: the dialect's public names for them.
+"""
 
 from __future__ import annotations
 
