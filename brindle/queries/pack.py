@@ -113,6 +113,8 @@ JOINS = [
     ("join_on_subquery", "SELECT r.r_name, n.n_name FROM region r INNER JOIN nation n ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20)", "SELECT r.r_name, n.n_name FROM region r, nation n WHERE n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20)"),
     ("join_left_on_subquery", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN (SELECT a.r_regionkey AS k, n.* FROM region a JOIN nation n ON n.n_regionkey = a.r_regionkey WHERE EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > a.r_regionkey * 20 + 60)) n ON n.k = r.r_regionkey"),
     ("join_right_on_subquery", "SELECT r.r_name, n.n_name FROM nation n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)", "SELECT r.r_name, n.n_name FROM region r LEFT JOIN (SELECT a.r_regionkey AS k, n.* FROM region a JOIN nation n ON n.n_regionkey = a.r_regionkey WHERE EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > a.r_regionkey * 20 + 60)) n ON n.k = r.r_regionkey"),
+    ("join_full_on_subquery", "SELECT r.r_name, n.n_name FROM region r FULL JOIN nation n ON n.n_regionkey = r.r_regionkey AND EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)", "WITH p AS (SELECT r.r_regionkey, r.r_name, n.n_nationkey, n.n_name FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey WHERE EXISTS (SELECT * FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey > r.r_regionkey * 20 + 60)) SELECT r_name, n_name FROM p UNION ALL SELECT r_name, NULL FROM region WHERE r_regionkey NOT IN (SELECT r_regionkey FROM p) UNION ALL SELECT NULL, n_name FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM p)"),
+    ("join_inner_subquery_in_outer", "SELECT r.r_name, n.n_name, s.s_suppkey FROM region r LEFT JOIN (nation n INNER JOIN supplier s ON s.s_nationkey = n.n_nationkey AND EXISTS (SELECT * FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal < s.s_acctbal - 10000.0)) ON n.n_regionkey = r.r_regionkey AND n.n_nationkey > 5 WHERE r.r_regionkey < 4", "SELECT r.r_name, d.n_name, d.s_suppkey FROM region r LEFT JOIN (SELECT n.n_name, n.n_regionkey, n.n_nationkey, s.s_suppkey FROM nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey WHERE EXISTS (SELECT * FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal < s.s_acctbal - 10000)) d ON d.n_regionkey = r.r_regionkey AND d.n_nationkey > 5 WHERE r.r_regionkey < 4"),
     ("join_null_keys", "SELECT a.n_name AS x, b.r_name AS y FROM nation a LEFT JOIN region b ON NULLIF(a.n_regionkey, 2) = NULLIF(b.r_regionkey, 2)", "SELECT a.n_name AS x, b.r_name AS y FROM nation a LEFT JOIN region b ON nullif(a.n_regionkey, 2) = nullif(b.r_regionkey, 2)"),
     ("join_five_way", _FIVE, _FIVE.replace("COUNT(*)", "CAST(COUNT(*) AS BIGINT)")),
 ]

@@ -103,7 +103,7 @@ def test_ambiguous(spark, catalog):
     assert Query(c.without_aggregate("G"), "SELECT G(1)").diagnostics()[0].id == "UndeclaredFunction"
     with pytest.raises(ValueError, match="AggregateInvalidInCurrentContext"):
         Expression(catalog, "COUNT(*)").evaluate()
-    wrong = Query(catalog, "SELECT 1 FROM T FULL JOIN U ON EXISTS (SELECT 1 FROM T x WHERE x.Id = T.Id AND x.Id = U.Id)")
+    wrong = Query(catalog, "SELECT 1 FROM (T JOIN T y ON T.Id = y.Id) FULL JOIN U ON EXISTS (SELECT 1 FROM T x WHERE x.Id = T.Id AND x.Id = U.Id)")
     assert [d.id for d in wrong.diagnostics()] == ["UnsupportedSubqueryInOn"]
     with pytest.raises(ValueError, match="UnsupportedCulture"):
         Expression(catalog, "TO_STRING(1.5, 'xx-XX')").evaluate()
