@@ -56,6 +56,7 @@ def test_simhash_rows(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcÀé") for _ in range(4)) for _ in range(60)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    texts += [" ".join(rng.choice(words) for _ in range(40_000))]
     texts += [t.upper() for t in texts[:5]] + [texts[7], texts[7] + " x", "", None, "\t \n", "one", "one two", "A b c d"] + [texts[9].replace(" ", "\x0b")]
     for k in range(20):
         w = texts[10].split()
@@ -64,7 +65,8 @@ def test_simhash_rows(spark):
         texts.append(" ".join(w))
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     rows.append(rows[4])
-    found = simhash.simhash_digest(spark.createDataFrame([*rows, (None, texts[3])], TEXTS).repartition(5)).collect()
+    clashing = [(*r, 1, "x", 2, b"k", None) for r in [*rows, (None, texts[3])]]
+    found = simhash.simhash_digest(spark.createDataFrame(clashing, TEXTS + ", fp long, path string, component_id long, key binary, fingerprint string").repartition(5)).collect()
     prints = [plain_fingerprint(t) for t in texts]
     group = classes(len(prints), near(prints))
     expected = collections.Counter((i * 3, f"{p:016x}", g * 3) for i, (p, g) in enumerate(zip(prints, group, strict=True)))
