@@ -10,8 +10,8 @@
    training. Its integral, inverted, gives the moment at which each copy of a
    document is due; documents are range-sorted by it.
 
-Only sums per source and per (source, range) are gathered; no text is shuffled
-before the copies are known.
+Only sums per source and per (source, range) are gathered, sources too by ranges of
+their order, should there be many; no text is shuffled before the copies are known.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 the last; a source without words has target 0; very long texts are counted whole;
@@ -38,6 +38,18 @@ TIERS = (1.0, 0.25)
 START_RATES = (0.5, 1.0, 1.5)
 
 
+def _ahead(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with sums over all rows ahead in an order. Ranges of it are summed first, so that no task holds all rows."""
+    ranged = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__p").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each partition.
+    offsets = totals.select("__p", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
+    within = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    both = ranged.join(F.broadcast(offsets), "__p")
+    return both.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).drop("__p", *(f"__{n}" for n in sums))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """One row per source: source, weight, start_rate, n_rows, source_size, target.
 
@@ -48,18 +60,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, limit:
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     # UTF-8's byte order is that of code points.
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    by_place = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (place % len(xs) + 1).cast("int"))
-    per = per.select("*", by_place(list(map(float, weights))).alias("weight"), by_place(list(START_RATES)).alias("start_rate"))
+    by_name = F.col("source").asc_nulls_last()
+    per = _ahead(per, [by_name], {"place": F.lit(1)})
+    by_place = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("place") % len(xs) + 1).cast("int"))
+    per = per.select("*", by_place(list(map(float, weights))).alias("weight"), by_place(list(START_RATES)).alias("start_rate")).drop("place")
     cap = limit * F.col("source_size")
-    per = per.withColumn("fills_at", cap / F.col("weight"))
-    every = Window.orderBy("fills_at", F.col("source").asc_nulls_last())
-    upto, after, all_rows = every.rowsBetween(Window.unboundedPreceding, 0), every.rowsBetween(0, Window.unboundedFollowing), every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.select("*", (F.sum(cap).over(upto) - cap).alias("filled"), F.sum("weight").over(after).alias("open_weight"), F.sum("source_size").over(all_rows).alias("total"))
-    level = (F.col("total") - F.col("filled")) / F.col("open_weight")
+    per = _ahead(per.withColumn("fills_at", cap / F.col("weight")), [F.col("fills_at").asc(), by_name], {"filled": cap, "closed_weight": F.col("weight")})
+    every = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(every["size"]) - F.col("filled")) / (F.lit(every["weight"]) - F.col("closed_weight"))
     # Levels fall once sources count as filled that are not, so the largest feasible one is right.
-    per = per.withColumn("level", F.max(F.when(level <= F.col("fills_at"), level)).over(all_rows))
-    target = F.when(F.col("fills_at") <= F.col("level"), cap.cast("double")).otherwise(F.col("weight") * F.col("level"))
+    best = F.lit(per.agg(F.max(F.when(level <= F.col("fills_at"), level)).alias("level")).first()["level"]).cast("double")
+    target = F.when(F.col("fills_at") <= best, cap.cast("double")).otherwise(F.col("weight") * best)
     return per.select("source", "weight", "start_rate", "n_rows", "source_size", F.least(target, cap.cast("double")).alias("target"))
 
 

@@ -457,6 +457,20 @@ def test_mixing(spark, seed):
     assert sorted(map(repr, found)) == sorted(map(repr, mixing.mix_digest(df.repartition(7)).collect()))
 
 
+def test_targets_of_many_sources(spark):
+    """Sources in several ranges of their order, against the plain rule."""
+    rng = random.Random(3)
+    sizes = {f"{'zaÜb'[i % 4]}{i}": rng.choice([0, 1, 7, 40, 5000]) for i in range(700)} | {None: 90}
+    rows = [(s, n) for s, n in sizes.items()] + [("a1", 5)]
+    sizes["a1"] += 5
+    found = {r.source: r for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(3)).collect()}
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    weights = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(order)}
+    expected = water(sizes, weights)
+    assert {s: r.weight for s, r in found.items()} == weights
+    assert all(found[s].target == pytest.approx(expected[s]) and found[s].source_size == sizes[s] for s in sizes)
+
+
 def test_mixed_rows_come_in_order(spark):
     df = spark.createDataFrame([(i, "w " * (i % 9 + 1), "ab"[i % 2], i) for i in range(300)], "doc_id long, text string, source string, extra long")
     plan = {r.doc_id: r.copies for r in mixing.mix_digest(df).collect()}
