@@ -452,7 +452,7 @@ def similar_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], near
     A shard over hot sets is dealt again by further mixings, and one that stays so in the
     end by blocks: of each two blocks a shard. Each set's likeliest pair is asked first (in
     whole shards and single blocks); then, there and of two blocks, pairs that would join
-    components; then all that are still apart, where one of those failed.
+    components (where there are blocks); then all that are still apart, where one of those failed.
     """
 
     def keyed(rows: DataFrame, first: int, n: int) -> DataFrame:
@@ -479,7 +479,8 @@ def similar_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], near
     shards = written(shards, "shards")
     removed(*spent)
     edges, groups, open_ = None, None, None
-    for mode in (FIRST, JOINING, ALL):
+    in_blocks = not shards.filter("not first").isEmpty()
+    for mode in (FIRST, JOINING, ALL) if in_blocks else (FIRST, ALL):
         asked = shards.filter("first") if mode == FIRST else shards.join(open_, "key", "left_semi")
         if mode == JOINING:
             asked = asked.union(shards.filter("not first"))
@@ -492,7 +493,7 @@ def similar_links(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], near
         edges = links if edges is None else edges.union(links)
         failed = got.filter("more").join(judged.filter("not good"), ["x", "y"], "left_semi").select("key")
         open_ = written(got.filter("x is null").select("key").union(failed).distinct(), "open")
-        if open_.isEmpty() and (mode != FIRST or shards.filter("not first").isEmpty()):
+        if mode == ALL or (open_.isEmpty() and not (mode == FIRST and in_blocks)):
             break
         groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("same"), "component")
     return edges
