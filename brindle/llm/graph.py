@@ -27,7 +27,7 @@ def _hung(pairs: DataFrame, larger_only: bool) -> DataFrame:
     return kept.filter("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_once: int = 2) -> DataFrame:
     """Of edges (a, b: longs) the table node, component: the smallest node reachable.
 
     Alternates large stars (a node's larger neighbours move to its smallest)
@@ -35,14 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges then are stars around each component's smallest node. Rounds grow
     with the logarithm of the nodes. Each round is written to the shared folder
     and the round before it deleted. Self-loops and repeated edges are
-    harmless; nodes without an edge have no row.
+    harmless; nodes without an edge have no row. at_once: rounds that are one
+    plan; plans grow eightfold with each, and the driver's memory with them.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     mark = None
     while True:
-        # Two rounds are one plan: the first's result is small beside the cost of a write.
+        # By default two rounds are one plan: the first's result is small beside the cost of a write.
         new = now
-        for _ in range(2):
+        for _ in range(at_once):
             new = _hung(_hung(_both_ways(new), True), False)
         new = written(new, "edges")
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -136,6 +136,102 @@ def test_one_large_group_in_blocks(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({top(i) for i in range(len(texts))})
 
 
+def test_forest_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 40, 40, 40):
+        base, sets = rng.integers(0, 2**63, 50).astype(np.uint64), [np.empty(0, np.uint64)]
+        for _ in range(n):
+            own = base[: rng.integers(30, 51)].copy()
+            odd = rng.random(len(own)) < rng.choice([0, 0.05, 0.1])
+            own[odd] = rng.integers(0, 2**63, odd.sum()).astype(np.uint64)
+            sets.append(np.unique(own))
+        up = list(range(len(sets)))
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        links = simhash.similar_forest(sets, 0.8)
+        for a, b in links:
+            assert top(a) != top(b) and similarity(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            assert top(a) == top(b) or similarity(set(sets[a].tolist()), set(sets[b].tolist())) < 0.8
+
+
+@pytest.mark.parametrize("hot", [4096, 24])
+def test_rows_of_a_group_do_not_grow_with_its_square(spark, monkeypatch, hot):
+    """A group of which no two are links though all may be, copies of one of them, and one that joins two components."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(120):
+        # Two share 252 of their 296 shingles, a similarity of 0.741.
+        texts.append(" ".join([word() for _ in range(22)] + base[22:278] + [word() for _ in range(22)]))
+    for a, b in ((0, 1), (2, 3)):
+        one, other = texts[a].split(), texts[b].split()
+        texts.append(" ".join(one[:150] + other[150:]))
+        texts.append(" ".join(one[:290] + [word() for _ in range(10)]))
+    counts, write = {}, simhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    found = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=hot).collect()}
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if similarity(sets[a], sets[b]) >= 0.8:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert (found[a] == found[b]) == (top(a) == top(b))
+    assert len(set(found.values())) == 118
+    if hot == 4096:
+        assert max(counts.values()) <= 6 * len(texts), counts
+
+
+@pytest.mark.parametrize("joined", [0, 150, 300])
+def test_tiles(spark, joined):
+    """Small tiles in which all meet that have to; joined: sets of one component."""
+    df = spark.createDataFrame([(k, i, 0 if i < joined else i) for k in (1, 2) for i in range(300)], "key long, same long, component long")
+    first, other = (collections.defaultdict(set), collections.defaultdict(set))
+    for tiles, held in ((simhash.first_tiles(df, 64), first), (simhash.other_tiles(df, 64), other)):
+        for r in tiles.collect():
+            held[r.key].add(r.same)
+    assert max(map(len, [*first.values(), *other.values()])) < 100
+    assert sum(map(len, first.values())) < 2 * 2 * 300
+    met = {p for own in other.values() for p in itertools.combinations(sorted(own), 2)}
+    assert all((a, b) in met for a, b in itertools.combinations(range(300), 2) if b >= joined)
+    assert joined < 300 or not other
+
+
+def test_groups_in_parts():
+    import numpy as np
+    import pandas as pd
+
+    n = 20
+    marks = simhash.sketch(np.arange(1, 5000, 7).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rows = pd.DataFrame({"key": 5, "same": np.arange(n), "fp": 0, "sketch": [marks] * n, "n": 100, "component": np.arange(n)})
+    halves = iter([rows.iloc[:7], rows.iloc[7:]])
+    teams = pd.concat(simhash._groups(simhash.Near(), 500)(halves)).groupby("team")["same"].apply(list)
+    assert teams.map(len).max() <= 10
+    assert {p for own in teams for p in itertools.combinations(sorted(own), 2)} == set(itertools.combinations(range(n), 2))
+    whole = pd.concat(simhash._groups(simhash.Near(), 1 << 20)(iter([rows])))
+    assert whole["team"].nunique() == 1 and sorted(whole["same"]) == list(range(n))
+
+
 ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, component long, same string, fp long, size string, score string, tier int, copies int, place int, hash long, item long, th long"
 
 
