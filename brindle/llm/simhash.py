@@ -453,15 +453,21 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def _linked(near: Near) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Spanning links x, y of the teams (rows sorted by team and same, with their hashes) of a partition."""
+    """Links x, y of the teams (rows sorted by team and same, with their hashes) of a partition: from the smallest of a team's component to
+    each other, so that teams of the same sets give the same links and stars of them need few rounds."""
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         team, same = rows["team"].to_numpy(np.int64), rows["same"].to_numpy(np.int64)
         sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
         cuts = [0, *(np.flatnonzero(np.diff(team)) + 1).tolist(), len(team)]
         pairs = [(lo + x, lo + y) for lo, hi in zip(cuts, cuts[1:], strict=False) for x, y in similar_forest(sets[lo:hi], near.similarity)]
-        x, y = (same[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
-        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        label = np.arange(len(team))
+        _hook(label, a, b)
+        # Places in a team are in the order of same.
+        label = _top(label, label)
+        on = np.flatnonzero(label != np.arange(len(team)))
+        return pd.DataFrame({"x": same[label[on]], "y": same[on]})
 
     return _by_key(found, "team")
 
